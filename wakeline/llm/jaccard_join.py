@@ -16,7 +16,7 @@ All verification is exact, on whole sets (64-bit shingle hashes).  Fingerprints
 
 Defined cases: a null or blank text has an empty set and links with nothing, not even with its like; a text with fewer than n
 words has its whole sequence as its only shingle; repeated rows are copies and link; rows with a null doc_id are dropped as they
-can't be named; an empty table gives an empty result; other columns are ignored.
+can't be named; of rows that repeat a doc_id any one's links count for it; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,12 @@ from wakeline.llm.scratch import Scratch
 #: Cells of the document-frequency sketch, a fixed size whatever the input.
 CELLS = 1 << 18
 SLICE = 1 << 13
-MATCHES = (1, 2, 3, 4)
+#: How many prefix shingles must match, as shares of a document's size: the least asked for, and what costly documents go up to.
+LEVELS = (0.05, 0.10, 0.20)
+
+
+def _matches(s: int, level: float) -> int:
+    return 1 + int(s * level)
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -97,16 +102,17 @@ def _described(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> Dat
                     k1[i] = T.mix(g, 11).sum(dtype=np.uint64).view(np.int64)
                     k2[i] = T.mix(g, 12).sum(dtype=np.uint64).view(np.int64)
                     df = freq[(g >> np.uint64(46)).astype(np.int64)]
-                    least = s - -(-s * percent // 100) + 1
-                    most = min(s, least + MATCHES[-1] - 1)
-                    first = np.argpartition(df, most - 1)[:most] if most < s else np.arange(s)
-                    if most < s:  # all of the last frequency, then the smallest hashes of it
-                        first = np.flatnonzero(df <= df[first].max())
+                    free = s - -(-s * percent // 100)  # shingles that a partner may lack
+                    ells = [_matches(s, x) for x in LEVELS]
+                    most = min(s, free + ells[-1])
+                    first = np.arange(s)
+                    if most < s:  # the shingles of the lowest frequencies, all of the last one
+                        first = np.flatnonzero(df <= np.partition(df, most - 1)[most - 1])
                     order = first[np.lexsort((g[first], df[first]))][:most]
-                    over = np.cumsum(np.maximum(df[order] - noise, 0) + 0.05)
-                    costs = [over[min(most, least + x - 1) - 1] * (1 + 2.0 / x) + 0.2 * x for x in MATCHES if least + x - 1 <= s]
-                    ell[i] = MATCHES[int(np.argmin(costs))]
-                    take = order[: least + ell[i] - 1]
+                    over = np.cumsum(np.maximum(df[order] - noise, 0))
+                    costs = [over[min(s, free + x) - 1] * (1 + 2.0 / x) + 0.5 * (free + x) for x in ells]
+                    ell[i] = ells[int(np.argmin(costs))]
+                    take = order[: free + ell[i]]
                     kept.append(g[take])
                     at[i + 1] = len(take)
             flat = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
@@ -135,11 +141,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(hold, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", hubs: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", hubs: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) for each document.
 
     class_id is the smallest doc_id with the same set, component_id the smallest reachable by links; both are the document
-    itself where its set is empty.  Two documents link if 100 * intersection >= percent * union.
+    itself where its set is empty.  Two documents link if 100 * intersection >= percent * union.  The ids of nodes that can have a
+    partner (8 bytes each) are counted, and sent to all executors up to broadcast_rows of them; beyond it the same join shuffles.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
@@ -152,6 +159,12 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: s
     rows = nodes.select(F.explode("x.prefix").alias("g"), F.col("x.doc_id").alias("rep"), F.col("n").cast("int").alias("n"), F.col("x.l").alias("l"))
     shared = rows.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
     rows = scratch.save(rows.join(shared, "g"), "rows")
+    # any partner of a node asks for at least the matches of the smallest size it can have
+    enough = F.floor(F.ceil(F.col("n") * percent / 100.0 - 1e-9) * LEVELS[0]) + 1
+    active = rows.groupBy("rep").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= enough).select("rep")
+    active = scratch.save(active, "active")
+    near = F.broadcast(active) if active.count() <= broadcast_rows else active
+    rows = rows.join(near, "rep")
 
     # whole sets of the nodes that share any prefix shingle
     def sets_of(batches):
@@ -159,9 +172,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: s
             out = pa.array([g.tobytes() for _, g in _sets(b.column(1), n)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), out], ["rep", "grams"])
 
-    active = rows.select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.join(active, "doc_id")
-    sets = scratch.save(sets.select("doc_id", "text").mapInArrow(sets_of, "rep long, grams binary").dropDuplicates(["rep"]), "sets")
+    sets = docs.join(near.withColumnRenamed("rep", "doc_id"), "doc_id")
+    sets = scratch.save(sets.select("doc_id", "text").mapInArrow(sets_of, "rep long, grams binary"), "sets")
 
     # hubs: of each shingle's nodes one, the same one for most shingles of a group of near copies
     fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
@@ -184,7 +196,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: s
     pairs = pairs.where(F.col("s") >= F.least("l", "k")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = scratch.save(links.union(_verified(pairs, sets, percent)), "links")
     known = scratch.save(components(links, scratch, "all"), "components")
-    scratch.drop("rows", "sets", "stars", "placed", "known")
+    scratch.drop("rows", "active", "sets", "stars", "placed", "known")
 
     # every document, by its class
     named = nodes.select("k1", "k2", F.col("n").alias("m"), F.col("x.doc_id").alias("class_id"))

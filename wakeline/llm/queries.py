@@ -25,6 +25,29 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the 100-byte strings that start earlier too."""
+    from wakeline.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity, grade and verdict for each document."""
+    from wakeline.llm.toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts, base rules and verdict for each document."""
+    from wakeline.llm.quality_rules import judge
+
+    out = judge(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of each document: four-word shingles, Jaccard 0.85."""
     from wakeline.llm.jaccard_join import near_duplicates
@@ -33,4 +56,4 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_decontamination, op8_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op3_decontamination, op4_suffix_dedup, op5_toxicity, op7_quality_rules, op8_ngram_jaccard_join)}

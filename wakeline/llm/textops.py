@@ -84,9 +84,12 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
         lo = hi
 
 
-def word_spans(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a chunk, and for each row (and one past) the number of words before it."""
-    inside = ~WHITE[c.data]
+def word_spans(c: Chunk, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a chunk, and for each row (and one past) the number of words before it.
+
+    inside: which bytes are in words; by default those that are not white space.
+    """
+    inside = ~WHITE[c.data] if inside is None else inside
     n = len(inside)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(c.start) + 1, np.int64)
@@ -161,3 +164,47 @@ def within(at: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def row_of(rows: np.ndarray) -> np.ndarray:
     """For offsets: the row of each element."""
     return np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+
+
+def row_sums(values: np.ndarray, c: Chunk) -> np.ndarray:
+    """For a value per byte: its sum over each row."""
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return total[c.end] - total[c.start]
+
+
+def fold_case(data: np.ndarray) -> np.ndarray:
+    """Bytes in lower case: A-Z, and the capitals of the Latin-1 supplement."""
+    out = LOWER[data]
+    after = np.flatnonzero(out[:-1] == 0xC3) + 1
+    low = out[after]
+    out[after] = np.where((low >= 0x80) & (low <= 0x9E) & (low != 0x97), low + 0x20, low)
+    return out
+
+
+#: Bytes of letters: a-z and A-Z, and all bytes beyond ASCII.
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
+
+
+def letter_words(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each run of letters in lower case, and the number of such words before each row."""
+    ws, we, rows = word_spans(c, LETTER[c.data])
+    return mix(span_hash(prefix_hash(fold_case(c.data)), ws, we)), rows
+
+
+class Vocabulary:
+    """A set of 64-bit hashes with places: most others are ruled out by one look into a bit table."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(np.asarray(hashes, np.uint64))
+        self.table = np.zeros(1 << 20, bool)
+        self.table[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in x of the hashes that are in the set, and their places in it."""
+        may = np.flatnonzero(self.table[(x >> np.uint64(44)).astype(np.int64)])
+        if not len(self.hashes) or not len(may):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, x[may]), len(self.hashes) - 1)
+        good = self.hashes[at] == x[may]
+        return may[good], at[good]
