@@ -56,4 +56,46 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_decontamination, op4_suffix_dedup, op5_toxicity, op7_quality_rules, op8_ngram_jaccard_join)}
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence notices in each document."""
+    from wakeline.llm.license_scan import background_sample, scan, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return scan(docs, train(background_sample(docs)))
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of each document's ids, read from the files written."""
+    import public_tokenizers
+
+    from wakeline.llm.token_store import encode
+
+    return encode(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of each page."""
+    from wakeline.llm.html_wrapper import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document."""
+    from wakeline.llm.language_id import fit, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    return predict(docs, fit(docs))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, one after another."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_license_scan, op2_source_mix, op3_decontamination, op4_suffix_dedup, op5_toxicity, op6_token_store, op7_quality_rules, op8_ngram_jaccard_join, op9_main_text, op10_language_id, pipeline)
+}
