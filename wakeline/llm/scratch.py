@@ -5,6 +5,7 @@ All executors see that folder, so a lost executor costs a re-read and never a re
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,9 +28,15 @@ class Scratch:
         self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and read it again."""
+        """Write df once and read it again.
+
+        Spark deletes shuffle files when the driver's JVM collects what refers to them; that is asked for here, so that the files of
+        steps whose results are in tables don't pile up on the executors' disks.
+        """
         path = f"{self.folder}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        gc.collect()
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -14,7 +14,8 @@ What stays are dictionary words that share a trigger with another word, at the e
 classes of all tasks meet by fingerprint; its first suffix in corpus order stays, all others start a repeat.  Only equality of
 ``length`` bytes is asked for, so ranks beyond it and the order between unequal suffixes of different tasks are never needed.
 
-Hot phrases are partial aggregates and join rows, never a list in one task; only a document's own ranges are collected.
+Hot phrases are partial aggregates and join rows, never a list in one task; a hot suffix leaves each chunk of texts once, the rank
+over its class streams; only a document's own ranges are collected.
 
 Defined cases: a null text is empty; texts shorter than ``length`` are left as they are; repeated doc_ids: the rows with one doc_id
 are told apart by their text's hash and, if equal in that too, are one document with the same result for each row; a null doc_id
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from wakeline.llm import textops as T
 from wakeline.llm.scratch import Scratch
@@ -95,48 +97,67 @@ def suffix_classes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return rank[at]
 
 
+#: A place in a document: its start below, above it 16 bits of the text's hash, which tell rows with one doc_id apart.
+SHIFT = 40
+LOW = (1 << SHIFT) - 1
+
+
 def _spans(length: int):
-    """(t, p, doc, lo, m): trigger, phrase, document, first start, and both widths in one number."""
+    """(t, p, doc, place, w): trigger, phrase, document, first start, and number of further starts."""
 
     def run(batches):
         for b in batches:
+            twin = b.column(1).to_numpy(zero_copy_only=False)
             for c in T.chunks(b.column(2)):
-                row, t, p, lo, width, place = parse(c, length)
-                row = pa.array(row + c.lo)
-                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(p.view(np.int64)), b.column(0).take(row), b.column(1).take(row), pa.array(lo.astype(np.int32)), pa.array(width.astype(np.int32))], ["t", "p", "doc", "twin", "lo", "w"])
+                row, t, p, lo, width, _ = parse(c, length)
+                row += c.lo
+                place = (twin[row].astype(np.int64) << SHIFT) | lo
+                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(p.view(np.int64)), b.column(0).take(pa.array(row)), pa.array(place), pa.array(width.astype(np.int32))], ["t", "p", "doc", "place", "w"])
 
     return run
 
 
 def _edge_suffixes(length: int):
-    """The suffixes of dictionary words: (f, doc, twin, s), f the fingerprint of their class."""
+    """The suffixes of dictionary words, as (f, doc, place, known).
+
+    Of equal suffixes in one chunk of texts the first in corpus order is a row with the fingerprint f of its class; the others start a
+    repeat for certain and are marked known.
+    """
 
     def run(batches):
         for b in batches:
             column, spans = b.column(2), b.column(3)
+            doc, twin = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            at_list = spans.offsets.to_numpy()
+            los, widths = spans.values.field("lo").to_numpy(), spans.values.field("w").to_numpy()
             for c in T.chunks(column):
-                h = T.prefix_hash(c.data)
-                rows, starts = [], []
-                for i in range(c.hi - c.lo):
-                    for x in spans[c.lo + i].as_py():
-                        starts.append(np.arange(x["lo"], x["lo"] + x["w"] + 1))
-                        rows.append(np.full(x["w"] + 1, i))
-                if not starts:
+                lo, w = los[at_list[c.lo] : at_list[c.hi]], widths[at_list[c.lo] : at_list[c.hi]]
+                if not len(lo):
                     continue
-                row, s = np.concatenate(rows), np.concatenate(starts)
+                h = T.prefix_hash(c.data)
+                row = np.repeat(np.repeat(np.arange(c.hi - c.lo), np.diff(at_list[c.lo : c.hi + 1])), w + 1)
+                s = T.within(lo.astype(np.int64), np.arange(len(lo)), (w + 1).astype(np.int64))
                 at = s + c.start[row]
                 # only the bytes of the words take part in the sort
-                mask = np.zeros(len(c.data) + 1, np.int64)
-                np.add.at(mask, at, 1)
-                np.add.at(mask, at + length, -1)
-                used = np.flatnonzero(np.cumsum(mask[:-1]) > 0)
-                where = np.searchsorted(used, at)
-                classes = suffix_classes(c.data[used], where, length)
-                # the first of each class in the order of rows and starts stands for it; equal doc_ids come together only later
-                _, first, back = np.unique(classes, return_index=True, return_inverse=True)
-                finger = T.mix(T.span_hash(h, at[first], at[first] + length), 9)[back]
-                row = pa.array(row + c.lo)
-                yield pa.RecordBatch.from_arrays([pa.array(finger.view(np.int64)), b.column(0).take(row), b.column(1).take(row), pa.array(s.astype(np.int32))], ["f", "doc", "twin", "s"])
+                mark = np.zeros(len(c.data) + 1, np.int64)
+                np.add.at(mark, at, 1)
+                np.add.at(mark, at + length, -1)
+                used = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+                classes = suffix_classes(c.data[used], np.searchsorted(used, at), length)
+                row += c.lo
+                place = (twin[row].astype(np.int64) << SHIFT) | s
+                order = np.lexsort((place, doc[row], classes))
+                first = np.empty(len(order), bool)
+                first[0] = True
+                first[1:] = classes[order[1:]] != classes[order[:-1]]
+                known = np.ones(len(order), bool)
+                known[order[first]] = False
+                # a row with the same doc_id and text is the same document, its suffixes are no repeats
+                same = np.zeros(len(order), bool)
+                same[1:] = ~first[1:] & (doc[row[order[1:]]] == doc[row[order[:-1]]]) & (place[order[1:]] == place[order[:-1]])
+                known[order[same]] = False
+                finger = T.mix(T.span_hash(h, at, at + length), 9)
+                yield pa.RecordBatch.from_arrays([pa.array(finger.view(np.int64)), pa.array(doc[row]), pa.array(place), pa.array(known)], ["f", "doc", "place", "known"])
 
     return run
 
@@ -172,44 +193,53 @@ def _cut(length: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 100, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, broadcast_rows: int = 1_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 100, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each document.
 
     Each byte goes that lies in a length-byte string of its document that also starts earlier in the corpus.  kept is null unless
-    with_text.  Up to broadcast_rows documents with edges of repeats (16 bytes each) are named to the readers by a broadcast, after
-    a count; more of them meet their texts in a shuffle.
+    with_text.  The places of edges of repeats are measured, and sent to the readers of the texts by a broadcast up to broadcast_bytes; more
+    of them meet their texts in a shuffle.
     """
     if length <= GRAM:
         raise ValueError(f"length must be above {GRAM}")
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
-    docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("twin"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
+    docs = docs.select(doc.alias("doc"), F.xxhash64(whole).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("twin"), whole.alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
     texts = docs.select("doc", "twin", "text").where(F.octet_length("text") >= length)
-    phrases = texts.mapInArrow(_spans(length), "t long, p long, doc long, twin long, lo int, w int")
+    phrases = scratch.save(texts.mapInArrow(_spans(length), "t long, p long, doc long, place long, w int"), "all")
 
     # phrases whose trigger occurs more than once
     again = phrases.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t")
     phrases = scratch.save(phrases.join(again, "t"), "phrases")
+    scratch.drop("all")
 
     # dictionary: equal phrases, their first occurrence, and whether another word has the same trigger
-    place = F.struct("doc", "twin", "lo")
-    words = phrases.groupBy("t", "p").agg(F.min(place).alias("first"))
-    several = words.groupBy("t").agg(F.count("*").alias("words")).where("words > 1").select("t")
-    words = words.join(several.withColumn("edge", F.lit(True)), "t", "left").select("t", "p", "first", F.coalesce("edge", F.lit(False)).alias("edge"))
-    placed = phrases.join(words, ["t", "p"])
-    later = placed.where(place != F.col("first")).select("doc", "twin", "lo", (F.col("lo") + F.col("w")).alias("hi"))
-    edges = placed.where((place == F.col("first")) & F.col("edge")).groupBy("doc", "twin").agg(F.collect_list(F.struct("lo", "w")).alias("spans"))
+    place = F.struct("doc", "place")
+    words = phrases.groupBy("t", "p").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    words = scratch.save(words, "words")
+    several = words.groupBy("t").agg(F.count("*").alias("words")).where("words > 1").select("t", F.lit(True).alias("edge"))
+    words = words.join(several, "t", "left").where("n > 1 or edge").select("t", "p", "first", F.coalesce("edge", F.lit(False)).alias("edge"))
+    placed = phrases.join(words, ["t", "p"]).select("doc", "place", "w", "edge", (place == F.col("first")).alias("is_first"))
+    placed = scratch.save(placed.where("edge or not is_first"), "placed")
+    scratch.drop("phrases", "words")
+    twin, start = F.shiftrightunsigned("place", SHIFT).cast("int").alias("twin"), F.col("place").bitwiseAND(F.lit(LOW)).cast("int")
+    later = placed.where("not is_first").select("doc", twin, start.alias("lo"), (start + F.col("w")).alias("hi"))
+    edges = placed.where("is_first").groupBy("doc", twin).agg(F.collect_list(F.struct(start.alias("lo"), "w")).alias("spans"))
     edges = scratch.save(edges, "edges")
 
-    # suffixes of the words at the edges
-    near = F.broadcast(edges) if edges.count() <= broadcast_rows // 20 else edges
-    suffixes = texts.join(near, ["doc", "twin"]).select("doc", "twin", "text", "spans").mapInArrow(_edge_suffixes(length), "f long, doc long, twin long, s int")
+    # suffixes of the words at the edges; those that are first in their task meet by class
+    near = F.broadcast(edges) if (edges.agg(F.sum(F.size("spans") * 8 + 32)).first()[0] or 0) <= broadcast_bytes else edges
+    suffixes = texts.join(near, ["doc", "twin"]).select("doc", "twin", "text", "spans").mapInArrow(_edge_suffixes(length), "f long, doc long, place long, known boolean")
     suffixes = scratch.save(suffixes, "suffixes")
-    start = F.struct("doc", "twin", "s")
-    firsts = suffixes.groupBy("f").agg(F.min(start).alias("first"), F.count("*").alias("n")).where("n > 1")
-    repeated = suffixes.join(firsts, "f").where(start != F.col("first")).select("doc", "twin", F.col("s").alias("lo"), F.col("s").alias("hi"))
+    order = W.partitionBy("f").orderBy("doc", "place")
+    ranked = suffixes.where("not known").select("doc", "place", F.rank().over(order).alias("r")).where("r > 1").select("doc", "place")
+    repeated = suffixes.where("known").select("doc", "place").union(ranked).select("doc", twin, start.alias("lo"), start.alias("hi"))
 
     ranges = later.union(repeated).groupBy("doc", "twin").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = scratch.save(ranges, "ranges")
+    scratch.drop("placed", "edges", "suffixes")
     out = docs.join(ranges, ["doc", "twin"], "left").select("doc_id", "text", "ranges")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return out.mapInArrow(_cut(length, with_text), schema)

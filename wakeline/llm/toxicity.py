@@ -2,8 +2,8 @@
 
 Labels only tell toxic from not.  Severity grades are made from them: 0 for the others, and for toxic documents 1, 2 or 3 by which
 third of the toxic their share of toxic words falls in; toxic words are those that stand in toxic documents far more often than
-in others.  The model is P(grade <= k) = sigmoid(theta_k - w . x) with one weight vector for all thresholds; x is the share of each
-vocabulary word among the words of the text, in percent.  Its outputs are the grade probabilities and the expected
+in others.  The model is P(grade <= k) = sigmoid(theta_k - w . x) with one weight vector for all thresholds; x is the square root
+of each vocabulary word's share of the words of the text, in percent.  Its outputs are the grade probabilities and the expected
 severity, the sum over k of P(grade > k).
 
 The fit takes a bounded sample of labelled documents (``sample`` of each class, by hash order of doc_id); scoring covers every whole
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, grades: int =
     place = np.cumsum(used) - 1
     keep = used[col] & sure[row]
     back = np.cumsum(sure) - 1
-    w, theta = fit_ordinal(back[row[keep]], place[col[keep]], 100 * count[keep] / n[row[keep]], grade[sure], int(used.sum()))
+    w, theta = fit_ordinal(back[row[keep]], place[col[keep]], np.sqrt(100 * count[keep] / n[row[keep]]), grade[sure], int(used.sum()))
     return Model(words[used], w, theta)
 
 
@@ -128,8 +128,11 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
             for c in T.chunks(b.column(1)):
                 words, rows = T.letter_words(c)
                 at, place = vocabulary.find(words)
-                total = np.bincount(np.searchsorted(rows, at, "right") - 1, m.weights[place], minlength=c.hi - c.lo)
-                eta[c.lo : c.hi] = 100 * total / np.maximum(np.diff(rows), 1)
+                size = max(1, len(m.words))
+                pairs, count = np.unique((np.searchsorted(rows, at, "right") - 1) * size + place, return_counts=True)
+                row, word = pairs // size, pairs % size
+                value = np.sqrt(100 * count / np.diff(rows)[row])
+                eta[c.lo : c.hi] = np.bincount(row, value * m.weights[word], minlength=c.hi - c.lo)
             above = _sigmoid(eta[:, None] - m.thresholds[None, :])
             grade = (above >= 0.5).sum(axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(above.sum(axis=1)), pa.array(grade.astype(np.int32)), pa.array(above[:, 0].copy()), pa.array(above[:, 0] >= least)], ["doc_id", "severity", "grade", "p_toxic", "toxic"])
