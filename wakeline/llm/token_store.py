@@ -43,6 +43,17 @@ CACHE = 1_000_000
 SEQUENCES_PER_BATCH = 64
 
 
+class _Over(dict):
+    """A few entries over a large dict."""
+
+    def __init__(self, below: dict):
+        super().__init__()
+        self.below = below
+
+    def __missing__(self, key):
+        return self.below[key]
+
+
 class Encoder:
     """The ids of texts, by a tokenizer file."""
 
@@ -76,13 +87,23 @@ class Encoder:
                     cut.append([t])
                 else:
                     cut.append((FINE if t.isascii() or max(t) < "ɐ" else COARSE).findall(t))
-            new = list({p for pieces in cut for p in pieces if p not in known})
+            new = set()
+            for pieces in cut:
+                new.update(pieces)
+            new = list(new.difference(known))
+            look = known
             if new:
-                if len(known) + len(new) > CACHE:
-                    known.clear()
-                    new = list({p for pieces in cut for p in pieces})
-                known.update(zip(new, self._plain(new), strict=True))
-            out += [b"".join([known[p] for p in pieces]) for pieces in cut]
+                made = dict(zip(new, self._plain(new), strict=True))
+                if len(known) + len(new) <= CACHE:
+                    known.update(made)
+                else:  # a full cache keeps what came first, which is what comes most
+                    look = _Over(known)
+                    look.update(made)
+            if look is known:
+                get = known.__getitem__
+                out += [b"".join(map(get, pieces)) for pieces in cut]
+            else:
+                out += [b"".join([look[p] for p in pieces]) for pieces in cut]
         return out
 
 
