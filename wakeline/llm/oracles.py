@@ -4,13 +4,13 @@
 #: item n-gram containment, by hand: all shingles of all documents that any item has
 OP3 = r"""
 WITH RECURSIVE
-i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM benchmark),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
 il AS (SELECT *, least(len(w), 5) AS k FROM i WHERE len(w) > 0),
-ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - k + 2), p -> array_to_string(w[p:p + k - 1], ' '))) AS g FROM il),
+ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS g FROM il),
 n AS (SELECT item_id, count(*) AS n_item FROM ig GROUP BY item_id),
-d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 ks AS (SELECT DISTINCT k FROM il),
-dg AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - k + 2), p -> array_to_string(w[p:p + k - 1], ' '))) AS g FROM d, ks WHERE len(w) >= k)
+dg AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS g FROM d, ks WHERE len(w) >= k)
        WHERE g IN (SELECT g FROM ig)),
 c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM dg JOIN ig USING (g) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
