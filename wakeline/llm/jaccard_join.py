@@ -10,7 +10,9 @@ and the candidates left when l of them are needed).  A pair is a candidate if it
 Documents with equal sets are one node.  Large groups of near copies have a number of links that grows with the square of
 their size, so links inside a component that is already known are not asked for: first every node is held against a few
 hub nodes of its prefix shingles, which joins the bulk of each group; then exactly the candidates between different components
-are generated and verified.  No link between different components is lost, so the components are those of all links.
+are generated and verified.  Shingles that only one node has can't be shared, which bounds a pair's similarity from above: nodes
+and pairs that can't reach the threshold any more leave before their sets are compared.  No link between different components is
+lost, so the components are those of all links.
 
 All verification is exact, on whole sets (64-bit shingle hashes).  Fingerprints of sets are 128 bits.
 
@@ -127,8 +129,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def hold(batches):
         for b in batches:
-            left, la = T.column_bytes(b.column(2))
-            right, ra = T.column_bytes(b.column(3))
+            left, right = b.column(2).values.to_numpy(), b.column(3).values.to_numpy()
+            la, ra = b.column(2).offsets.to_numpy(), b.column(3).offsets.to_numpy()
             good = np.zeros(len(b), bool)
             for i in range(len(b)):
                 x, y = left[la[i] : la[i + 1]].view(np.uint64), right[ra[i] : ra[i + 1]].view(np.uint64)
@@ -166,37 +168,51 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: s
     near = F.broadcast(active) if active.count() <= broadcast_rows else active
     rows = rows.join(near, "rep")
 
-    # whole sets of the nodes that share any prefix shingle
+    # whole sets of the nodes that are left
     def sets_of(batches):
         for b in batches:
-            out = pa.array([g.tobytes() for _, g in _sets(b.column(1), n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), out], ["rep", "grams"])
+            grams = [g for _, g in _sets(b.column(1), n)]
+            at = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
+            flat = np.concatenate(grams).view(np.int64) if grams else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["rep", "grams"])
 
     sets = docs.join(near.withColumnRenamed("rep", "doc_id"), "doc_id")
-    sets = scratch.save(sets.select("doc_id", "text").mapInArrow(sets_of, "rep long, grams binary"), "sets")
-
-    # hubs: of each shingle's nodes one, the same one for most shingles of a group of near copies
-    fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    sets = scratch.save(sets.select("doc_id", "text").mapInArrow(sets_of, "rep long, grams array<long>"), "sets")
+
+    # own: shingles that no other node left has.  No partner shares them, so a pair's similarity is at most
+    # least(n - own) / (greatest(n - own) + both own); if twice a node's own is too much, its partner must have fewer (light)
+    alone = sets.select(F.explode("grams").alias("g"), "rep").groupBy("g").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1")
+    own = scratch.save(alone.groupBy("rep").agg(F.count("*").cast("int").alias("own")), "own")
+    rows = rows.join(F.broadcast(own) if own.count() <= broadcast_rows else own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    rows = rows.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
+    rows = rows.withColumn("light", (F.col("n") - F.col("own")) * 100 >= (F.col("n") + F.col("own")) * percent)
+    rows = scratch.save(rows, "alive")
+
+    # hubs: of each shingle's nodes one light node, the same one for most shingles of a group of near copies
+    p, q = F.col("n") - F.col("own"), F.col("m") - F.col("own2")
+    fits = F.least(p, q) * 100 >= (F.greatest(p, q) + F.col("own") + F.col("own2")) * percent
     slot = F.pmod(F.col("g"), F.lit(hubs))
-    hub = rows.groupBy("g").agg(F.min_by(F.struct("rep", "n"), F.xxhash64("rep", slot)).alias("h")).select("g", F.col("h.rep").alias("hub"), F.col("h.n").alias("m"))
+    hub = rows.where("light").groupBy("g").agg(F.min_by(F.struct("rep", "n", "own"), F.xxhash64("rep", slot)).alias("h"))
+    hub = hub.select("g", F.col("h.rep").alias("hub"), F.col("h.n").alias("m"), F.col("h.own").alias("own2"))
     stars = rows.join(hub, "g").where((F.col("rep") != F.col("hub")) & fits)
     stars = stars.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     links = scratch.save(_verified(stars, sets, percent), "stars")
     known = scratch.save(components(links, scratch, "first"), "known")
 
-    # the rest: shingles whose nodes lie in several components, and there the pairs between components alone
+    # the rest: shingles whose nodes lie in several components, and there the pairs of a light node with one of another component
     placed = rows.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    mixed = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
+    mixed = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("light").alias("light")).where("lo < hi and light").select("g")
     placed = scratch.save(placed.join(mixed, "g"), "placed")
-    groups = placed.select("g", "c").distinct()
-    across = groups.join(groups.withColumnRenamed("c", "d"), "g").where("c < d")
-    one = across.join(placed.select("g", "c", F.col("rep").alias("a"), "n", "l"), ["g", "c"])
-    two = placed.select("g", F.col("c").alias("d"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("l").alias("k"))
-    pairs = one.join(two, ["g", "d"]).where(fits).groupBy("a", "b").agg(F.count("*").alias("s"), F.first("l").alias("l"), F.first("k").alias("k"))
+    light = placed.where("light")
+    across = light.select("g", "c").distinct().join(placed.select("g", F.col("c").alias("d")).distinct(), "g").where("c <> d")
+    one = across.join(light.select("g", "c", F.col("rep").alias("a"), "n", "l", "own"), ["g", "c"])
+    two = placed.select("g", F.col("c").alias("d"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("own").alias("own2"), F.col("light").alias("light2"))
+    once = ~F.col("light2") | (F.col("a") < F.col("b"))
+    pairs = one.join(two, ["g", "d"]).where(fits & once).groupBy("a", "b").agg(F.count("*").alias("s"), F.first("l").alias("l"), F.first("k").alias("k"))
     pairs = pairs.where(F.col("s") >= F.least("l", "k")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = scratch.save(links.union(_verified(pairs, sets, percent)), "links")
     known = scratch.save(components(links, scratch, "all"), "components")
-    scratch.drop("rows", "active", "sets", "stars", "placed", "known")
+    scratch.drop("rows", "active", "sets", "own", "alive", "stars", "placed", "known")
 
     # every document, by its class
     named = nodes.select("k1", "k2", F.col("n").alias("m"), F.col("x.doc_id").alias("class_id"))
