@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Names under which archives carry each canonical column.
 ALIASES = {
@@ -99,7 +100,7 @@ def wkb_points(df: DataFrame, column: str) -> DataFrame:
                     x[i], y[i] = np.frombuffer(blob, f"{order}f8", 2, 5 + skip)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(x, from_pandas=True), pa.array(y, from_pandas=True)], [*b.schema.names[1:], "longitude", "latitude"])
 
-    schema = df.schema.add("longitude", "double").add("latitude", "double")
+    schema = StructType([*df.schema.fields, StructField("longitude", DoubleType()), StructField("latitude", DoubleType())])
     return df.select(F.col(column).alias("_wkb"), *df.columns).mapInArrow(run, schema)
 
 
@@ -123,7 +124,7 @@ def write_new_days(df: DataFrame, path: str, day: str, spark: SparkSession, buil
     """Append the days that aren't in the built table yet, partitioned by day; returns those days."""
     days = df.select(day).distinct()
     fresh = days if built is None else days.join(built.select(day).distinct(), day, "left_anti")
-    fresh = fresh.cache()
+    fresh = spark.createDataFrame(fresh.collect(), fresh.schema)  # a row per calendar day; fixed before the table changes
     df.join(F.broadcast(fresh), day, "left_semi").write.mode("append").partitionBy(day).option("compression", "zstd").parquet(path)
     return fresh
 
