@@ -39,8 +39,9 @@ def query(name: str, oracle: str | None = None, views: bool = True):
         QUERIES[name] = f
         if oracle:
             body = oracle.strip()
-            rest = f", {body[4:].lstrip()}" if body.upper().startswith("WITH") else f" {body}"
-            ORACLES[name] = f"WITH {VIEWS.strip()}{rest}" if views else body
+            recursive = "RECURSIVE " if body.upper().startswith("WITH RECURSIVE") else ""
+            rest = f", {body[4:].lstrip().removeprefix('RECURSIVE').lstrip()}" if body.upper().startswith("WITH") else f" {body}"
+            ORACLES[name] = f"WITH {recursive}{VIEWS.strip()}{rest}" if views else body
         return f
 
     return keep
