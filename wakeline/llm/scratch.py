@@ -1,47 +1,3 @@
-"""Tables that cut lineage: Parquet in the folder that the cluster names in spark.checkpoint.dir.
+"""Tables that cut lineage, as in the library."""
 
-All executors see that folder, so a lost executor costs a re-read and never a re-run of what came before.
-"""
-
-from __future__ import annotations
-
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where that is unset (tests, local mode), a temporary folder, set once."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("wakeline.scratch", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("wakeline.scratch", found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """A folder for one call of an operator."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and read it again.
-
-        Spark deletes shuffle files when the driver's JVM collects what refers to them; that is asked for here, so that the files of
-        steps whose results are in tables don't pile up on the executors' disks.
-        """
-        path = f"{self.folder}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        gc.collect()
-        self.spark._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+from wakeline.scratch import Scratch, shared_folder  # noqa: F401
