@@ -10,9 +10,10 @@ and the candidates left when l of them are needed).  A pair is a candidate if it
 Documents with equal sets are one node.  Large groups of near copies have a number of links that grows with the square of
 their size, so links inside a component that is already known are not asked for: first every node is held against a few
 hub nodes of its prefix shingles, which joins the bulk of each group; then exactly the candidates between different components
-are generated and verified.  Shingles that only one node has can't be shared, which bounds a pair's similarity from above: nodes
-and pairs that can't reach the threshold any more leave before their sets are compared.  No link between different components is
-lost, so the components are those of all links.
+are generated and verified.  For the few nodes that are left by then the exact number of holders of each shingle is counted: their
+prefixes are drawn again in that order, and shingles that only one node has bound a pair's similarity from above, so that nodes and
+pairs that can't reach the threshold leave before their sets are compared.  No link between different components is lost, so the
+components are those of all links.
 
 All verification is exact, on whole sets (64-bit shingle hashes).  Fingerprints of sets are 128 bits.
 
@@ -179,12 +180,21 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: s
     sets = docs.join(near.withColumnRenamed("rep", "doc_id"), "doc_id")
     sets = scratch.save(sets.select("doc_id", "text").mapInArrow(sets_of, "rep long, grams array<long>"), "sets")
 
-    # own: shingles that no other node left has.  No partner shares them, so a pair's similarity is at most
-    # least(n - own) / (greatest(n - own) + both own); if twice a node's own is too much, its partner must have fewer (light)
-    alone = sets.select(F.explode("grams").alias("g"), "rep").groupBy("g").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1")
-    own = scratch.save(alone.groupBy("rep").agg(F.count("*").cast("int").alias("own")), "own")
-    rows = rows.join(F.broadcast(own) if own.count() <= broadcast_rows else own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    rows = rows.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
+    # among the nodes left, exact counts: own are shingles that no other node has.  No partner shares them, so a pair's similarity is
+    # at most least(n - own) / (greatest(n - own) + both own); a node with many own needs a partner with few (light)
+    tokens = sets.select(F.explode("grams").alias("g"), "rep")
+    counts = scratch.save(tokens.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    shared = tokens.join(counts, "g").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("x"))
+    facts = rows.groupBy("rep").agg(F.first("n").alias("n"))
+    shared = shared.join(facts, "rep").withColumn("own", F.col("n") - F.size("x"))
+    # the multi-match prefix again, in order of the exact counts; own shingles come first and need no row
+    spare = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9).cast("int") - F.col("own")
+    size = lambda m: F.least(F.size("x"), F.col("spare") + m)
+    cost = lambda m: F.aggregate(F.slice("x", 1, size(m)), F.lit(0.0), lambda s, y: s + y["c"]) * (1 + 2.0 / m)
+    options = [F.struct(cost(m).alias("cost"), m.alias("m")) for m in (F.lit(1), *[1 + F.floor(F.col("n") * x).cast("int") for x in LEVELS])]
+    shared = shared.withColumn("spare", spare).where("spare >= 0 and size(x) > 0").withColumn("l", F.array_min(F.array(*options))["m"])
+    rows = shared.select("rep", "n", F.col("own").cast("int").alias("own"), "l", F.explode(F.slice("x", 1, size(F.col("l")))).alias("y"))
+    rows = rows.select("rep", "n", "own", "l", F.col("y.g").alias("g"))
     rows = rows.withColumn("light", (F.col("n") - F.col("own")) * 100 >= (F.col("n") + F.col("own")) * percent)
     rows = scratch.save(rows, "alive")
 
@@ -212,7 +222,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: s
     pairs = pairs.where(F.col("s") >= F.least("l", "k")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = scratch.save(links.union(_verified(pairs, sets, percent)), "links")
     known = scratch.save(components(links, scratch, "all"), "components")
-    scratch.drop("rows", "active", "sets", "own", "alive", "stars", "placed", "known")
+    scratch.drop("rows", "active", "sets", "counts", "alive", "stars", "placed", "known")
 
     # every document, by its class
     named = nodes.select("k1", "k2", F.col("n").alias("m"), F.col("x.doc_id").alias("class_id"))
