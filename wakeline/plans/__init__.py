@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables."""
 
-from wakeline.plans import context_queries, detect_queries, fusion_queries, live_queries, model_queries, profile_queries, ranking_queries, track_queries  # noqa: F401
+from wakeline.plans import behaviour_queries, context_queries, detect_queries, fusion_queries, live_queries, model_queries, profile_queries, ranking_queries, track_queries  # noqa: F401
 from wakeline.plans.registry import ORACLES, QUERIES  # noqa: F401
