@@ -47,6 +47,22 @@ def test_low_speed_needs_both_ends(spark):
     assert w.low_speed_s == 100 and w.n_course_pairs == 3 and w.turn_sum == pytest.approx(10 + 20 + 15) and w.displacement_m == 0 and w.path_ratio is None
 
 
+def test_path_has_no_leg_before_the_first_report(spark):
+    cfg = T.TrackConfig(segment_gap_s=1e9, window_s=200, stride_s=200, min_observations=2, min_span_s=1)
+    df = reports(spark, [("a", 0, 0, 0, 9, 0), ("a", 100, 0, 0.01, 9, 0), ("a", 200, 0, 0.02, 9, 0)])
+    w = T.window_table(T.windows(T.segments(df, cfg), cfg), cfg).first()
+    assert w.path_m == pytest.approx(1111.95, abs=0.1) and w.displacement_m == pytest.approx(1111.95, abs=0.1)
+    assert spark.range(1).select(geo.haversine_m(F.lit(None).cast("double"), F.lit(0.0), F.lit(0.0), F.lit(0.0))).first()[0] is None
+
+
+def test_resampled_route(spark):
+    from wakeline.operators import routes
+
+    df = reports(spark, [("a", 0, 0, 0, 9, 0), ("a", 1, 0, 1, 9, 0), ("a", 2, 0, 4, 9, 0), ("b", 0, 1, 1, 9, 0), ("b", 9, 1, 1, 9, 0)])
+    got = {r.anchor: r.longitude for r in routes.resample(df, 5).collect()}
+    assert got == pytest.approx({0: 0, 1: 1, 2: 2, 3: 3, 4: 4}, abs=1e-6)
+
+
 def test_partitions_do_not_matter(spark):
     cfg = T.TrackConfig(segment_gap_s=500, window_s=300, stride_s=100, min_observations=2, min_span_s=1)
     df = reports(spark, [(f"v{k % 3}", 37 * k % 2000, k % 7, k % 5, k % 11, 31 * k % 360) for k in range(300)])

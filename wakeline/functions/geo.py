@@ -10,10 +10,10 @@ NM_M = 1852.0
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in metres."""
+    """Great-circle distance in metres; null where a coordinate is."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
     a = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.when(a <= 1, a).when(a > 1, 1.0)))  # least() would pass over a null
 
 
 def haversine_nm(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

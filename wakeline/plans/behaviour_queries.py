@@ -80,3 +80,25 @@ def positions_at(spark, sf_dir):
     r = F.row_number().over(W.partitionBy("track_id").orderBy(F.desc("t"), F.desc("event_id")))
     df = df.withColumn("r", r).where((F.col("r") == 1) & (at - F.col("t") <= 86_400) & (F.lit(at) <= F.col("last") + 1800))
     return df.select("track_id", "event_id", F.round(geo.haversine_nm(F.col("latitude"), F.col("longitude"), F.lit(24.0), F.lit(120.5)), 5).alias("nm"))
+
+
+ROUTE = "rl AS (SELECT *, lag(latitude) OVER p AS la, lag(longitude) OVER p AS lo, coalesce(" + haversine("lag(latitude) OVER p", "lag(longitude) OVER p", "latitude", "longitude") + " / 1852, 0) AS d FROM fixes WINDOW p AS (PARTITION BY track_id ORDER BY t, event_id)), rs AS (SELECT *, sum(d) OVER (PARTITION BY track_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS s, sum(d) OVER (PARTITION BY track_id) AS total FROM rl), ri AS (SELECT *, CASE WHEN la IS NULL THEN 0 ELSE CAST(floor((s - d) / total * 19 + 1e-9) AS BIGINT) + 1 END AS i, CASE WHEN la IS NULL THEN 0 ELSE least(19, CAST(floor(s / total * 19 + 1e-9) AS BIGINT)) END AS j FROM rs WHERE total > 0), ra AS (SELECT *, unnest(range(i, j + 1)) AS anchor FROM ri WHERE j >= i), rp AS (SELECT track_id, vessel_type, anchor, CASE WHEN la IS NULL THEN latitude ELSE la + CASE WHEN d > 0 THEN (anchor / 19.0e0 * total - (s - d)) / d ELSE 1 END * (latitude - la) END AS y, CASE WHEN la IS NULL THEN longitude ELSE lo + CASE WHEN d > 0 THEN (anchor / 19.0e0 * total - (s - d)) / d ELSE 1 END * (longitude - lo) END AS x FROM ra)"
+
+
+@query("WN11_resampled_routes", "WITH " + ROUTE + " SELECT track_id, anchor, round(y, 5) AS latitude, round(x, 5) AS longitude FROM rp")
+def resampled_routes(spark, sf_dir):
+    from wakeline.operators import routes
+
+    out = routes.resample(fixes(spark, sf_dir))
+    return out.select("track_id", "anchor", F.round("latitude", 5).alias("latitude"), F.round("longitude", 5).alias("longitude"))
+
+
+@query("AG29_route_corridors", "WITH " + ROUTE + ", rm AS (SELECT vessel_type % 10 AS route, anchor, quantile_cont(y, 0.5) AS my, quantile_cont(x, 0.5) AS mx, count(*) AS tracks FROM rp GROUP BY ALL HAVING count(*) >= 5) SELECT route, rp.anchor, round(max(my), 5) AS latitude, round(max(mx), 5) AS longitude, round(greatest(quantile_cont(" + haversine("y", "x", "my", "mx") + ", 0.9), 100), 2) AS width_m, max(tracks) AS tracks FROM rp JOIN rm ON rm.route = rp.vessel_type % 10 AND rm.anchor = rp.anchor GROUP BY route, rp.anchor")
+def route_corridors(spark, sf_dir):
+    """Centre line and width of the tracks of each group of vessel types."""
+    from wakeline.operators import routes
+
+    f = fixes(spark, sf_dir)
+    group = f.select("track_id", (F.col("vessel_type") % 10).alias("route")).distinct()
+    out = routes.corridor(routes.resample(f).join(group, "track_id"), "route")
+    return out.select("route", "anchor", *[F.round(c, 5).alias(c) for c in ("latitude", "longitude")], F.round("width_m", 2).alias("width_m"), "tracks")

@@ -29,7 +29,9 @@ zones AS (
 
 
 def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    return f"(2 * 6371008.8e0 * asin(sqrt(least(1.0e0, pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))))"
+    """Metres in SQL; the sum of the arguments times 0 keeps nulls, which least() passes over."""
+    a = f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"
+    return f"(2 * 6371008.8e0 * asin(sqrt(least(1.0e0, {a}))) + 0 * ({lat1} + {lon1} + {lat2} + {lon2}))"
 
 
 def query(name: str, oracle: str | None = None, views: bool = True):
