@@ -21,7 +21,7 @@ def fragments(df: DataFrame, line: str = "line") -> DataFrame:
     part = F.split(F.regexp_extract(F.col(line), SENTENCE, 1), ",")
     out = df.where(checksum_ok(F.col(line))).withColumn("_f", part).where(F.size("_f") == 7)
     names = {"talker": "string", "total": "int", "number": "int", "group": "string", "channel": "string", "payload": "string"}
-    out = out.withColumns({n: F.col("_f")[k].try_cast(t) for k, (n, t) in enumerate(names.items())}).drop("_f")
+    out = out.withColumns({n: F.get("_f", F.lit(k)).try_cast(t) for k, (n, t) in enumerate(names.items())}).drop("_f")
     return out.where((F.col("total").between(1, 9)) & F.col("number").between(1, F.col("total")) & (F.length("payload") > 0))
 
 
