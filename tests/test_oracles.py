@@ -1,4 +1,4 @@
-"""Every registered query of the library proper with SQL: same rows from Spark and DuckDB on the smallest tables."""
+"""Every registered query of the library proper with SQL: same rows from Spark and DuckDB."""
 
 import math
 from pathlib import Path
@@ -9,6 +9,11 @@ import pytest
 from wakeline.plans import ORACLES, QUERIES
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     con = duckdb.connect()

@@ -75,4 +75,4 @@ def roc_auc(df: DataFrame, label: Column, score: Column, keys: list[str] | None
     w = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
     c = c.withColumn("_mean", F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2)
     pos, neg = F.sum("_p"), F.sum(F.col("_n") - F.col("_p"))
-    return c.groupBy(*keys).agg(pos.alias("positives"), neg.alias("negatives"), ((F.sum(F.col("_p") * F.col("_mean")) - pos * (pos + 1) / 2) / (pos * neg)).alias("auc"))
+    return c.groupBy(*keys).agg(pos.alias("positives"), neg.alias("negatives"), F.try_divide(F.sum(F.col("_p") * F.col("_mean")) - pos * (pos + 1) / 2, (pos * neg).cast("double")).alias("auc"))

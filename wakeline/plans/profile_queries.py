@@ -49,7 +49,7 @@ def type_priors(spark, sf_dir):
     whole = v.agg(F.avg("y").alias("m"))
     g = v.groupBy("vessel_type").agg(F.count("*").alias("n"), F.avg("y").alias("y")).crossJoin(F.broadcast(whole))
     prior = F.when(F.col("n") >= 5, F.col("y")).otherwise(F.col("m"))
-    return g.select("vessel_type", "n", F.round(prior, 6).alias("prior"), F.round(prior / F.col("m"), 6).alias("lift"))
+    return g.select("vessel_type", "n", F.round(prior, 6).alias("prior"), F.round(F.try_divide(prior, F.col("m")), 6).alias("lift"))
 
 
 @query("AG28_method_choice", "WITH m AS (SELECT l_returnflag || l_linestatus AS method, round(quantile_cont(l_discount, 0.5), 6)::DOUBLE AS overlap FROM lineitem GROUP BY 1), b AS (SELECT *, max(overlap) OVER () AS best FROM m) SELECT method, overlap FROM b WHERE overlap >= best - 0.005 ORDER BY method LIMIT 1", views=False)
