@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from wakeline.llm.scratch import Scratch
+
 #: The word rule of sizes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -78,6 +80,7 @@ def mix(
     """
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), 1)
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"))
+    sized = Scratch(docs.sparkSession, "mix").save(sized, "sizes")  # texts are read once
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     # two levels of equal key ranges; both counts follow from the source's rows
     groups = F.least(F.lit(1024), F.greatest(F.lit(1), F.ceil(F.col("_rows") / rows_per_bucket))).cast("long")
