@@ -43,7 +43,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids in Arrow files in the shared folder; a row per document with its place, length and checksum, read from them."""
     import public_tokenizers
 
-    return token_store.encode(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.encode(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
 STAGES = [

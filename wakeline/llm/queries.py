@@ -70,7 +70,7 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from wakeline.llm.token_store import encode
 
-    return encode(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
+    return encode(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ attempt and moved into place when complete, so a lost or repeated task leaves on
 Encoding.  Texts are cut into pieces where the tokenizer's own pre-tokenizer always cuts (before white space, and between a letter
 and a mark), and each distinct piece is encoded by the tokenizer once per worker, in a cache of bounded size; ids of pieces make up
 those of the text.  That holds for byte-level BPE with the usual pattern of runs of letters, digits, marks and spaces, which is
-checked when the tokenizer is read; others encode whole texts.
+checked when the tokenizer is read; others encode whole texts.  Where a text holds an added token's content that the tokenizer takes
+as that token, the text is encoded whole.  Contents of special tokens are taken so with ``added_tokens``, else read as plain text.
 
 Defined cases: a null or empty text has only the end id; null doc_ids come first; rows with equal doc_ids follow one another, by text;
 an empty table gives no file and no rows; other columns are ignored.
@@ -57,18 +58,19 @@ class _Over(dict):
 class Encoder:
     """The ids of texts, by a tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"] and (added_tokens or not t.get("special"))]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.known: dict[str, bytes] = {}
 
@@ -83,7 +85,7 @@ class Encoder:
         for lo in range(0, len(texts), 200):
             cut = []
             for t in texts[lo : lo + 200]:
-                if UNSURE.search(t):
+                if UNSURE.search(t) or any(x in t for x in self.added):
                     cut.append([t])
                 else:
                     cut.append((FINE if t.isascii() or max(t) < "ɐ" else COARSE).findall(t))
@@ -107,13 +109,14 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def _encoder(path: str, added_tokens: bool) -> Encoder:
+    key = path, added_tokens
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, added_tokens)
+    return _encoders[key]
 
 
 def _schema(length: int, dtype) -> pa.Schema:
@@ -126,11 +129,11 @@ def _qualified(spark: SparkSession, folder: str) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().replace("file:/", "file:///", 1).replace("file://///", "file:///")
 
 
-def _write(folder: str, tokenizer: str, length: int, end_id: int):
+def _write(folder: str, tokenizer: str, length: int, end_id: int, added_tokens: bool):
     def run(batches):
         part = TaskContext.get().partitionId()
         own = uuid.uuid4().hex[:8]
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, added_tokens)
         fs, root = pafs.FileSystem.from_uri(folder)
         end = np.array([end_id], encoder.dtype).tobytes()
         schema = _schema(length, encoder.dtype)
@@ -183,12 +186,12 @@ def _write(folder: str, tokenizer: str, length: int, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, length: int = 2048, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, length: int = 2048, end_id: int = 2, added_tokens: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the files, and a manifest table (part, n_docs, n_tokens) in folder/manifest, which is returned."""
     spark = docs.sparkSession
     folder = _qualified(spark, folder)
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = ordered.mapInArrow(_write(f"{folder}/files", tokenizer, length, end_id), "part int, n_docs long, n_tokens long")
+    manifest = ordered.mapInArrow(_write(f"{folder}/files", tokenizer, length, end_id, added_tokens), "part int, n_docs long, n_tokens long")
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(manifest.schema).parquet(f"{folder}/manifest")
 
