@@ -24,3 +24,31 @@ def test_added_tokens(spark, tmp_path):
     assert want[0][1] == 5
     for out in (QUERIES["op6_token_store"](spark, str(tmp_path)), dict(corpus_pipeline.STAGES)["tokens"](spark, docs, str(tmp_path))):
         assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in out.collect()} == want
+
+
+def _main_text(spark, rows):
+    from wakeline.llm.html_wrapper import main_text
+
+    return {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_copies_are_not_template(spark):
+    story = "<h1>The long story</h1><p>It was told many times, always in these words and no others, over and over again.</p>"
+    rows = []
+    for k in range(120):
+        inner = story if k >= 12 else f"<h1>Another title {k}</h1><p>Quite another story, number {k}, that nobody has copied so far.</p>"
+        menu = "<div><p>Welcome to our site</p></div>"
+        rows.append((k, f"https://marked.example/{k}", f"<body>{menu}<article>{inner}<p>Share this story</p></article><footer>{k}</footer></body>"))
+        rows.append((1000 + k, f"https://plain.example/{k}", f"<body>{menu}<div>{inner}</div><div><p>Page {k}</p></div></body>"))
+    got = _main_text(spark, rows)
+    for k in range(120):
+        want = "The long story\nIt was told many times" if k >= 12 else f"Another title {k}\nQuite another story, number {k}"
+        assert got[k].startswith(want) and "Share" not in got[k], got[k]
+        assert got[1000 + k].startswith(want) and "Welcome" not in got[1000 + k], got[1000 + k]
+
+
+def test_template_goes_by_its_text(spark):
+    rows = [(k, f"https://a.example/{k}", f"<article><h1>Title {k}</h1><h2>{'No summary' if k % 10 else f'Summary of {k}'}</h2><p>The text of article {k} at some length.</p></article>") for k in range(40)]
+    got = _main_text(spark, rows)
+    for k in range(0, 40, 10):
+        assert got[k] == f"Title {k}\nSummary of {k}\nThe text of article {k} at some length."
