@@ -52,3 +52,17 @@ def test_template_goes_by_its_text(spark):
     got = _main_text(spark, rows)
     for k in range(0, 40, 10):
         assert got[k] == f"Title {k}\nSummary of {k}\nThe text of article {k} at some length."
+
+
+def test_small_hosts_have_a_template(spark):
+    rows = []
+    for size in (1, 2, 3, 10):
+        for k in range(size):
+            body = f"<div><p>Home</p><p>All about our site</p></div><div><p>Story {k} of {size} starts in this way</p><p>and number {k} ends so</p></div><div><p>All prices without tax</p></div>"
+            rows.append((100 * size + k, f"https://h{size}.example/{k}", f"<body>{body}</body>"))
+    rows.append((299, "https://h2.example/again", rows[1][2]))
+    got = _main_text(spark, rows)
+    for size in (2, 3, 10):
+        for k in range(size):
+            assert got[100 * size + k] == f"Story {k} of {size} starts in this way\nand number {k} ends so"
+    assert got[299] == got[200] and got[100].startswith("Home\n")
