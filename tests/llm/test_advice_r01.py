@@ -66,3 +66,17 @@ def test_small_hosts_have_a_template(spark):
         for k in range(size):
             assert got[100 * size + k] == f"Story {k} of {size} starts in this way\nand number {k} ends so"
     assert got[299] == got[200] and got[100].startswith("Home\n")
+
+
+def test_slugs_in_an_article(spark):
+    rows = []
+    for k in range(12):
+        inside = (
+            f"<h1 class='article-header'>Title {k}</h1><p class='header'>Lead {k}</p><h2 id='related-work'>Related work {k}</h2><section id='search-strategy'><p>Searched {k}</p></section>"
+            f"<div id='social-impact'><p>Impact {k}</p></div><h3 id='Comments_on_method'>Comments {k}</h3><p class='alert-levels'>Levels {k}</p>"
+            f"<div class='box Ad'><p>Buy {k}</p></div><div class='comments'><h3>Me too {k}</h3></div><div role='complementary'>See {k}</div>"
+        )
+        rows.append((k, f"https://a.example/{k}", f"<body><div id='site-header'>Site {k}</div><article class='related'>{inside}</article></body>"))
+    got = _main_text(spark, rows)
+    for k in range(12):
+        assert got[k] == "\n".join(f"{x} {k}" for x in ("Title", "Lead", "Related work", "Searched", "Impact", "Comments", "Levels"))
