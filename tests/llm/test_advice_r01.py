@@ -80,3 +80,25 @@ def test_slugs_in_an_article(spark):
     got = _main_text(spark, rows)
     for k in range(12):
         assert got[k] == "\n".join(f"{x} {k}" for x in ("Title", "Lead", "Related work", "Searched", "Impact", "Comments", "Levels"))
+
+
+def test_wrapped_and_hidden_licences(spark):
+    from wakeline.llm.license_scan import background_sample, scan, train
+
+    gnu = "you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    plain = [f"w{k % 397} the w{k % 211} of v{k % 89}" for k in range(4_000)]
+    texts = {
+        1: ("gpl", f"This program is free software:\n{gnu}, either version 3."),
+        2: ("bsd", f"Some words before.\n\n{bsd}\n * a list\n"),
+        3: ("mit", " ".join([*plain[:2_500], "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", *plain[2_500:]])),
+        4: ("", " ".join(["the public use of the source and the license of a version under the terms in general"] * 1_200)),
+        5: ("", "you can redistribute it and/or modify\n\nit under the table"),
+        6: ("apache", "Text.\nLicensed under the Apache\nLicense, Version 2.0.\nMore text"),
+    }
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in texts.items()] + [(7, None), (8, "\n \n")], "doc_id long, text string")
+    sample = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in scan(docs, train(background_sample(sample))).collect()}
+    assert {k: got[k].families for k in texts} == {k: f for k, (f, _) in texts.items()}
+    assert all(got[k].n_licences == (1 if f else 0) and got[k].n_candidates >= got[k].n_licences for k, (f, _) in texts.items())
+    assert got[1].n_paragraphs == 4 and got[7].n_paragraphs == got[8].n_paragraphs == 0

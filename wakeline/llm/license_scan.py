@@ -1,6 +1,8 @@
 """License scans: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs are the lines of a text.  Features are hashed runs of one to three words in lower case, over the closed vocabulary of the
+Paragraphs are the lines of a text.  Each is scored by itself if it has at most LONG words.  As a notice may be wrapped, or stand in a very
+long line, runs of non-blank lines, and longer lines, are also scored in overlapping windows of words, of several sizes up to more
+than twice the longest template, which cross line breaks and together cover the whole text.  Features are hashed runs of one to three words in lower case, over the closed vocabulary of the
 templates below, so a paragraph without any of their words costs one look-up a word.  Multinomial logistic regression tells licence
 families and "unknown" apart.  It learns from templates with words left out or put in from around, and, as unknown, from a
 bounded sample of the corpus' own paragraphs and from templates' words in random order.  A temperature and the least probability for a
@@ -45,12 +47,15 @@ _WORD = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
 _INSIDE = T.LETTER.copy()
 _INSIDE[48:58] = True
 RUNS = (1, 2, 3)
+#: Words of a window; windows start every half of it.  The longest template, a quarter longer, fits into half of the largest.
+LONG = 2 * (5 * max(len(_WORD.findall(t)) for ts in TEMPLATES.values() for t in ts) // 4 + 1)
+WINDOWS = (LONG // 4, LONG // 2, LONG)
 
 
-def _grams(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of one to three words within each row, and their rows."""
+def _placed_grams(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the runs of one to three words within each row, their rows, first words and lengths."""
     row = T.row_of(rows)
-    out, where = [], []
+    out, where, first, length = [], [], [], []
     k = np.uint64(0xD6E8FEB86659FD93)
     for n in RUNS:
         if len(words) < n:
@@ -58,10 +63,18 @@ def _grams(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         s = words[: len(words) - n + 1].copy()
         for j in range(1, n):
             s = s * k + words[j : len(words) - n + 1 + j]
-        same = row[: len(row) - n + 1] == row[n - 1 :]
-        out.append(T.mix(s[same], n))
-        where.append(row[: len(row) - n + 1][same])
-    return (np.concatenate(out), np.concatenate(where)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        at = np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :])
+        out.append(T.mix(s[at], n))
+        where.append(row[at])
+        first.append(at)
+        length.append(np.full(len(at), n))
+    if not out:
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
+    return np.concatenate(out), np.concatenate(where), np.concatenate(first), np.concatenate(length)
+
+
+def _grams(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _placed_grams(words, rows)[:2]
 
 
 def _lines(c: T.Chunk) -> tuple[T.Chunk, np.ndarray]:
@@ -73,9 +86,41 @@ def _lines(c: T.Chunk) -> tuple[T.Chunk, np.ndarray]:
     return T.Chunk(0, len(start), c.data, start, end), row
 
 
-def _line_words(lines: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
+def _spanned_words(lines: T.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     ws, we, rows = T.word_spans(lines, _INSIDE[lines.data])
-    return T.mix(T.span_hash(T.prefix_hash(T.fold_case(lines.data)), ws, we)), rows
+    return T.mix(T.span_hash(T.prefix_hash(T.fold_case(lines.data)), ws, we)), rows, ws, we
+
+
+def _line_words(lines: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    return _spanned_words(lines)[:2]
+
+
+def _windows(offsets: np.ndarray, row: np.ndarray, first: np.ndarray, length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of ``size`` words that each gram lies in: grams, windows, and all windows' first word, end and row.
+
+    offsets: of the words of each row.  A row has windows from every size // 2 words on, until one reaches its end.
+    """
+    step = size // 2
+    words = np.diff(offsets)
+    last = np.maximum(0, -(-(words - size) // step))
+    base = np.concatenate([[0], np.cumsum(last + 1)])
+    at = first - offsets[row]
+    grams, windows = [], []
+    for back in range(-(-size // step)):
+        j = at // step - back
+        here = np.flatnonzero((j >= 0) & (j <= last[row]) & (at + length <= j * step + size))
+        grams.append(here)
+        windows.append(base[row[here]] + j[here])
+    of = np.repeat(np.arange(len(words)), last + 1)
+    begin = offsets[of] + (np.arange(base[-1]) - base[of]) * step
+    return np.concatenate(grams), np.concatenate(windows), begin, np.minimum(begin + size, offsets[1:][of]), of
+
+
+def _told(family: int, words: set[int], share: float, family2: int, words2: set[int], share2: float) -> bool:
+    """Whether a notice has been told by the second: of the same family in the same place, or of another that fits most of its words better."""
+    if family == family2:
+        return min(words) <= max(words2) and min(words2) <= max(words)
+    return share <= share2 and 2 * len(words & words2) > min(len(words), len(words2))
 
 
 @dataclass
@@ -190,8 +235,9 @@ def background_sample(docs: DataFrame, *, sample: int = 2000, text: str = "text"
 def scan(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", overlap: float = 0.6) -> DataFrame:
     """(doc_id, n_paragraphs, n_candidates, n_licences, families, best, probability) for each document.
 
-    A candidate is a paragraph with a licence probability of at least model.least; a licence is a candidate that has at least
-    ``overlap`` of the word pairs of a template of its family.  families: those of the licences, in order of name, joined by commas; best
+    A candidate is a paragraph, or a window where none overlaps it, with a licence probability of at least model.least; a licence is
+    a candidate that has at least ``overlap`` of the word pairs of a template of its family.  The words of one notice count once for a
+    family, however many windows hold them; a window that confirms a notice which no paragraph does is a candidate too.  families: those of the licences, in order of name, joined by commas; best
     and probability are those of the most probable licence, null if there is none.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -207,28 +253,62 @@ def scan(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "
                 if not len(c.data):
                     continue
                 lines, row = _lines(c)
-                words, at = _line_words(lines)
+                words, at, ws, we = _spanned_words(lines)
                 some = T.row_sums(~T.WHITE[c.data], lines) > 0
                 paragraphs[c.lo : c.hi] = np.bincount(row[some], minlength=c.hi - c.lo)
-                grams, line = _grams(words, at)
+                # runs of non-blank lines; those of one line that is scored itself need no windows
+                starts = np.concatenate([[True], (row[1:] != row[:-1]) | ~some[:-1]])
+                run_of = np.cumsum(starts) - 1
+                per_line = np.diff(at)
+                runs = np.concatenate([[0], np.cumsum(np.bincount(run_of, per_line).astype(np.int64))])
+                run_row = row[starts]
+                alone = (np.bincount(run_of, per_line > 0) <= 1) & (np.diff(runs) <= LONG)
+                seen: dict[int, list[tuple[int, set[int], float]]] = {}  # confirmed notices by row: family, words, share of the template
+                tried: dict[int, list[tuple[int, int]]] = {}  # words of candidates by row
+
+                def judge(unit, place, begin, end, unit_row, window):
+                    busy, back = np.unique(unit, return_inverse=True)
+                    if not len(busy):
+                        return
+                    p = _softmax(_logits(back, place, len(busy), m.weights, m.bias) / m.temperature)
+                    best = p[:, :UNKNOWN].argmax(axis=1)
+                    top = p[np.arange(len(busy)), best]
+                    for k in np.flatnonzero((top >= m.least) & (p[:, UNKNOWN] < top)):
+                        lo, hi = int(begin[busy[k]]), int(end[busy[k]])
+                        i, family = c.lo + int(unit_row[busy[k]]), int(best[k])
+                        spoken = bytes(c.data[ws[lo] : we[hi - 1]]).decode("utf-8", "replace").lower()
+                        spoken = _WORD.findall(spoken)
+                        follow = list(zip(["", *spoken], spoken, strict=False))
+                        pairs = frozenset(follow)
+                        of = [t for f, t in m.templates if f == family and len(t & pairs) >= overlap * len(t)]
+                        if of:
+                            t = max(of, key=lambda t: len(t & pairs))
+                            hits = [x for x, pair in enumerate(follow) if pair in t] if len(spoken) == hi - lo else range(hi - lo)
+                            own, share = {lo + x for x in hits}, len(t & pairs) / len(t)
+                            if window and any(_told(family, own, share, *x) for x in seen.get(i, ())):
+                                continue
+                            seen.setdefault(i, []).append((family, own, share))
+                            licences[i] += 1
+                            found.setdefault(i, []).append((float(top[k]), FAMILIES[family]))
+                        elif window and any(x[0] < hi and lo < x[1] for x in tried.get(i, ())):
+                            continue
+                        tried.setdefault(i, []).append((lo, hi))
+                        candidates[i] += 1
+
+                grams, line, first, length = _placed_grams(words, at)
                 hit, place = vocabulary.find(grams)
                 line = line[hit]
-                long_ = np.bincount(line, minlength=len(row)) >= 3
-                use = long_[line]
-                busy, back = np.unique(line[use], return_inverse=True)
-                if not len(busy):
-                    continue
-                p = _softmax(_logits(back, place[use], len(busy), m.weights, m.bias) / m.temperature)
-                best = p[:, :UNKNOWN].argmax(axis=1)
-                top = p[np.arange(len(busy)), best]
-                for k in np.flatnonzero((top >= m.least) & (p[:, UNKNOWN] < top)):
-                    i = c.lo + int(row[busy[k]])
-                    candidates[i] += 1
-                    s = bytes(c.data[lines.start[busy[k]] : lines.end[busy[k]]]).decode("utf-8", "replace").lower()
-                    pairs = _pairs(_WORD.findall(s))
-                    if any(f == best[k] and len(t & pairs) >= overlap * len(t) for f, t in m.templates):
-                        licences[i] += 1
-                        found.setdefault(i, []).append((float(top[k]), FAMILIES[best[k]]))
+                use = (np.bincount(line, minlength=len(row)) >= 3)[line] & (per_line <= LONG)[line]
+                judge(line[use], place[use], at[:-1], at[1:], row, False)
+                grams, of_run, first, length = _placed_grams(words, runs)
+                hit, place = vocabulary.find(grams)
+                keep = ~alone[of_run[hit]]
+                hit, place = hit[keep], place[keep]
+                for size in WINDOWS:
+                    gram, window, begin, end, of_window = _windows(runs, of_run[hit], first[hit], length[hit], size)
+                    enough = (np.bincount(window, minlength=len(begin)) >= 3) & (np.bincount(window, length[hit][gram] == 2, minlength=len(begin)) >= 2)
+                    use = enough[window]
+                    judge(window[use], place[gram[use]], begin, end, run_row[of_window], True)
             names = [",".join(sorted({x[1] for x in found[i]})) if i in found else "" for i in range(n)]
             best = [max(found[i]) if i in found else (None, None) for i in range(n)]
             yield pa.RecordBatch.from_arrays(
