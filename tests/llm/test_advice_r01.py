@@ -102,3 +102,25 @@ def test_wrapped_and_hidden_licences(spark):
     assert {k: got[k].families for k in texts} == {k: f for k, (f, _) in texts.items()}
     assert all(got[k].n_licences == (1 if f else 0) and got[k].n_candidates >= got[k].n_licences for k, (f, _) in texts.items())
     assert got[1].n_paragraphs == 4 and got[7].n_paragraphs == got[8].n_paragraphs == 0
+
+
+def test_near_duplicates_by_row(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(60))
+    rows = [
+        (1, text(1)), (5, text(1)), (5, text(2)),  # one id, two texts: only the copy of 1 goes
+        (7, text(3)), (7, text(3)), (7, text(3) + " more"),  # repeated rows
+        (None, text(4)), (None, text(4)), (None, text(5)),  # copies without an id
+        (9, text(6)), (None, text(6)),  # a row with an id stays before one without
+        (20, text(7)), (21, text(7)), (22, text(8)),
+        (30, ""), (30, ""), (None, None),  # empty sets link with nothing
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    third = [t for i, t in got if i == 7]
+    assert len(third) == 1 and third[0].startswith(text(3))
+    want = [(1, text(1)), (5, text(2)), (7, third[0]), (None, text(4)), (None, text(5)), (9, text(6)), (20, text(7)), (22, text(8)), (30, ""), (30, ""), (None, None)]
+    assert got == sorted(want, key=str)

@@ -232,11 +232,36 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: s
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group of near duplicates, the one of smallest doc_id (of repeated doc_ids, one row).
+def one_of_each(docs: DataFrame, *, broadcast_ids: int = 1_000_000, **options) -> DataFrame:
+    """docs with one row of each group of near duplicates: the one of smallest doc_id, null last, of these by the row's hash.
 
-    Rows with a null doc_id, and documents with an empty set, are kept.
+    Rows are told apart even if they have no doc_id or share one: those get a key of their own, outside the range of all doc_ids, in a
+    table that is written once.  The ids that repeat are counted, and sent to all executors up to broadcast_ids of them.  Documents
+    with an empty set link with nothing and are kept.
     """
-    found = near_duplicates(docs, **options)
-    gone = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    scratch = Scratch(docs.sparkSession, "one_of_each")
+    repeated = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_c")).where("_c > 1").select("_id")
+    repeated = scratch.save(repeated, "repeated")
+    n = repeated.count()
+    low, high, nulls = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long"), F.count_if(F.col("doc_id").isNull())).first()
+    if not n and not nulls:
+        found = near_duplicates(docs, **options)
+        gone = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_id"))
+        return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    ids = F.broadcast(repeated) if n <= broadcast_ids else repeated
+    key = F.monotonically_increasing_id()
+    key = F.lit(low or 0) - 1 - key if (low or 0) > -(1 << 62) else F.lit(high) + 1 + key
+    odd = docs.where("doc_id is null").unionAll(docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi"))
+    odd = scratch.save(odd.withColumn("_key", key), "odd")
+    single = docs.where("doc_id is not null").join(ids, docs["doc_id"] == ids["_id"], "left_anti")
+    found = near_duplicates(single.select("doc_id", "text").unionAll(odd.select(F.col("_key"), "text")), **options).where("n_shingles > 0")
+    found = scratch.save(found.select(F.col("doc_id").alias("_id"), "component_id"), "found")
+    # groups with such a row are put in order anew; the others' component_id is their smallest doc_id
+    names = odd.select("_key", F.col("doc_id").alias("_own"), F.xxhash64(*docs.columns).alias("_hash"))
+    named = found.join(names, found["_id"] == names["_key"], "left").withColumn("_own", F.when(F.col("_key").isNull(), F.col("_id")).otherwise(F.col("_own")))
+    order = F.struct(F.col("_own").isNull().alias("none"), "_own", F.coalesce("_hash", F.lit(0)).alias("hash"), "_id")
+    first = named.groupBy("component_id").agg(F.min(order).alias("_first"), F.count("_key").alias("_odd")).where("_odd > 0")
+    first = first.select(F.col("component_id").alias("_component"), F.col("_first._id").alias("_kept"))
+    gone = found.join(first, found["component_id"] == first["_component"], "left").where(F.col("_id") != F.coalesce("_kept", "component_id"))
+    gone = scratch.save(gone.select("_id"), "gone")
+    return single.join(gone, single["doc_id"] == gone["_id"], "left_anti").unionAll(odd.join(gone, odd["_key"] == gone["_id"], "left_anti").select(*docs.columns))
