@@ -124,3 +124,27 @@ def test_near_duplicates_by_row(spark):
     assert len(third) == 1 and third[0].startswith(text(3))
     want = [(1, text(1)), (5, text(2)), (7, third[0]), (None, text(4)), (None, text(5)), (9, text(6)), (20, text(7)), (22, text(8)), (30, ""), (30, ""), (None, None)]
     assert got == sorted(want, key=str)
+
+
+def test_stages_go_by_row(spark, sf_dir):
+    from wakeline.llm.decontaminate import clean_documents, contaminated
+    from wakeline.llm.mixing import mix, repeat_documents
+    from wakeline.llm.toxicity import not_toxic
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = lambda k, n=40: " ".join(f"a{k}b{j}" for j in range(n))
+    # mixing: a blank row, or one of another source, under the same id doesn't take the others with it
+    docs = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in [(None, "", "x"), (None, words(1), "x"), (None, words(2), None), (4, " ", "x"), (4, words(4), "x"), (4, words(5), None), (6, words(6), "x"), (6, words(6), "x")]], schema)
+    got = [r.text for r in repeat_documents(docs, mix(docs, share=2.0)).collect()]
+    assert sorted(got) == sorted([words(k) for k in (1, 2, 4, 5, 6, 6)] * 2)
+    # benchmark: rows without an id are checked, items are told apart by their texts
+    items = spark.createDataFrame([(1, words(11)), (1, words(12)), (None, words(13)), (None, words(14))], "item_id long, text string")
+    docs = spark.createDataFrame([(None, f"x {words(11)} y", "en", "s", 1), (2, words(12), "en", "s", 1), (2, words(20), "en", "s", 1), (None, words(14), "en", "s", 1), (None, None, "en", "s", 1)], schema)
+    assert sorted((r.doc_id or 0, r.text or "") for r in clean_documents(docs, items).collect()) == [(0, ""), (2, words(20))]
+    assert [(r.doc_id, r.item_id) for r in contaminated(docs, items).collect()] == [(2, 1)]
+    # toxicity: a toxic row without an id goes, a plain one under a toxic one's id stays
+    rows = [(k, ("foul vile rotten " * 5 if k % 2 else "") + words(k % 7), "en", "s", 1) for k in range(200)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(150)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([*rows, (None, rows[1][1], "en", "s", 1), (199, words(3), "en", "s", 1)], schema)
+    kept = not_toxic(docs, labels).collect()
+    assert len(kept) == 101 and not any("foul" in r.text for r in kept) and 199 in {r.doc_id for r in kept}

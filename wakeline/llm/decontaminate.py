@@ -10,7 +10,8 @@ promise for short items.  Documents that hit a sketch are verified by exact cont
 Words are runs of letters and digits in lower case, so marks and line breaks don't hide a passage; shingles are of five words.
 Items with one to four words count as one shingle of just that many words; items without words match nothing.
 
-Defined cases: null and empty texts match nothing; repeated items are reported each; repeated documents too (rows with the
+Defined cases: null and empty texts match nothing; repeated items are reported each (rows with the
+same item_id and text are one item, with another text another); repeated documents too (rows with the
 same doc_id count as one document); an empty table on either side gives no rows; other columns are ignored.
 """
 
@@ -70,18 +71,18 @@ def contaminated(
         return F.broadcast(df) if df.count() <= broadcast_rows else df
 
     # sizes of shingles in use: n, and the whole length of shorter items
-    coded = items.select(F.col(item_id).alias("item_id"), word_codes(F.col(item_text)).alias("codes")).where(F.size("codes") > 0)
+    coded = items.select(F.col(item_id).alias("item_id"), F.xxhash64(F.col(item_text)).alias("_t"), word_codes(F.col(item_text)).alias("codes")).where(F.size("codes") > 0)
     coded = coded.withColumn("_len", F.least(F.size("codes"), F.lit(n)))
     lengths = sorted(r[0] for r in coded.select("_len").distinct().collect())  # at most n numbers
     pair = lambda codes, k: F.arrays_zip(shingles_of(codes, k, 1).alias("a"), shingles_of(codes, k, 2).alias("b"))
     if not lengths:
         return docs.select(F.col(doc_id).alias("doc_id")).limit(0).selectExpr("doc_id", "cast(null as long) item_id", "0L n_shared", "0L n_item", "0D containment")
-    parts = [coded.where(F.col("_len") == k).select("item_id", F.inline(pair(F.col("codes"), k)).alias("a", "b")) for k in lengths]
+    parts = [coded.where(F.col("_len") == k).select("item_id", "_t", F.inline(pair(F.col("codes"), k)).alias("a", "b")) for k in lengths]
     own = parts[0]
     for p in parts[1:]:
         own = own.union(p)
-    own = own.distinct().withColumn("n_item", F.count("*").over(W.partitionBy("item_id")))
-    rank = F.row_number().over(W.partitionBy("item_id").orderBy("a", "b"))
+    own = own.distinct().withColumn("n_item", F.count("*").over(W.partitionBy("item_id", "_t")))
+    rank = F.row_number().over(W.partitionBy("item_id", "_t").orderBy("a", "b"))
     own = own.withColumn("in_sketch", rank <= sketch_length(F.col("n_item"), threshold))
 
     # search: documents with any minimum of any item
@@ -97,12 +98,13 @@ def contaminated(
     again = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(side(hits), "doc_id", "left_semi")
     again = again.select("doc_id", word_codes(F.col("text")).alias("codes"))
     both = F.flatten(F.array(*[pair(F.col("codes"), k) for k in lengths]))
-    found = again.select("doc_id", F.inline(both).alias("a", "b")).join(side(own.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "item_id", "n_item")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
-    counted = found.select("doc_id", "item_id", "n_item", "a", "b").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.first("n_item").alias("n_item"))
+    found = again.select("doc_id", F.inline(both).alias("a", "b")).join(side(own.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "item_id", "_t", "n_item")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
+    counted = found.select("doc_id", "item_id", "_t", "n_item", "a", "b").distinct().groupBy("doc_id", "item_id", "_t").agg(F.count("*").alias("n_shared"), F.first("n_item").alias("n_item"))
     return counted.where(F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - 1e-9)).select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without those that hold an item; rows with a null doc_id can't be named and are kept."""
-    bad = contaminated(docs, items, **options).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_id"], "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """docs without the rows that hold an item; each row goes by its own text (its 128-bit hash), whatever its doc_id."""
+    texts = docs.select(F.md5(F.col(text)).alias("doc_id"), F.col(text).alias("text"))
+    bad = contaminated(texts, items, **options).select(F.col("doc_id").alias("_text")).distinct()
+    return docs.join(bad, F.md5(docs[text]) == bad["_text"], "left_anti")

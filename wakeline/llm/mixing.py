@@ -144,9 +144,15 @@ def mix(
 def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of docs as often as the mix takes them, each whole.
 
-    The document at which a budget ends is taken once more if at least half of it lies within the budget.  doc_id is the key
-    of docs; should it repeat there, the rows with one doc_id are all taken as often as the mix takes that doc_id's first row.
+    The document at which a budget ends is taken once more if at least half of it lies within the budget.  Rows are matched one to
+    one by doc_id, source and size, which is all that the mix knows of them; among rows equal in these, the first by row hash is taken most.
     """
-    copies = mixed.withColumn("_n", F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0))
-    copies = copies.groupBy(F.col("doc_id").alias("_id")).agg(F.min("_n").alias("_n")).where("_n > 0")
-    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*[docs[c] for c in docs.columns])
+    copies = F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
+    same = lambda size: [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("source").isNull(), F.coalesce("source", F.lit("")), size]
+    keys = lambda side, size: [c.alias(f"_{side}{k}") for k, c in enumerate(same(size))]
+    rank = lambda side, *order: F.row_number().over(W.partitionBy(*[f"_{side}{k}" for k in range(5)]).orderBy(*order))
+    left = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(*docs.columns).alias("_hash"), *keys("l", words_in(F.col("text"))))
+    left = left.withColumn("_l5", rank("l", "_hash"))
+    right = mixed.select(copies.alias("_n"), *keys("r", F.col("size"))).withColumn("_r5", rank("r", F.desc("_n"))).where("_n > 0")
+    on = [F.col(f"_l{k}") == F.col(f"_r{k}") for k in range(6)]
+    return left.join(right, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*[F.col("_row")[c].alias(c) for c in docs.columns])

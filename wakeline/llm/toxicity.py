@@ -116,6 +116,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, grades: int =
     return Model(words[used], w, theta)
 
 
+def _above(texts: pa.Array, m: Model, vocabulary: T.Vocabulary) -> np.ndarray:
+    """For each text, the probability of each grade or a higher one."""
+    eta = np.zeros(len(texts))
+    for c in T.chunks(texts):
+        words, rows = T.letter_words(c)
+        at, place = vocabulary.find(words)
+        size = max(1, len(m.words))
+        pairs, count = np.unique((np.searchsorted(rows, at, "right") - 1) * size + place, return_counts=True)
+        row, word = pairs // size, pairs % size
+        value = np.sqrt(100 * count / np.diff(rows)[row])
+        eta[c.lo : c.hi] = np.bincount(row, value * m.weights[word], minlength=c.hi - c.lo)
+    return _sigmoid(eta[:, None] - m.thresholds[None, :])
+
+
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """(doc_id, severity, grade, p_toxic, toxic) for each document; toxic: P(grade >= 1) of at least ``least``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -124,23 +138,22 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
         m = sent.value
         vocabulary = T.Vocabulary(m.words)
         for b in batches:
-            eta = np.zeros(len(b))
-            for c in T.chunks(b.column(1)):
-                words, rows = T.letter_words(c)
-                at, place = vocabulary.find(words)
-                size = max(1, len(m.words))
-                pairs, count = np.unique((np.searchsorted(rows, at, "right") - 1) * size + place, return_counts=True)
-                row, word = pairs // size, pairs % size
-                value = np.sqrt(100 * count / np.diff(rows)[row])
-                eta[c.lo : c.hi] = np.bincount(row, value * m.weights[word], minlength=c.hi - c.lo)
-            above = _sigmoid(eta[:, None] - m.thresholds[None, :])
+            above = _above(b.column(1), m, vocabulary)
             grade = (above >= 0.5).sum(axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(above.sum(axis=1)), pa.array(grade.astype(np.int32)), pa.array(above[:, 0].copy()), pa.array(above[:, 0] >= least)], ["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
 
 
-def not_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without those that the model finds toxic; rows with a null doc_id are kept."""
-    bad = score(docs, fit(docs, labels, **options)).where("toxic").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_id"], "left_anti")
+def not_toxic(docs: DataFrame, labels: DataFrame, *, text: str = "text", least: float = 0.5, **options) -> DataFrame:
+    """docs without the rows that the model finds toxic: each row goes by its own text, whatever its doc_id."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text=text, **options))
+    place = docs.columns.index(text)
+
+    def run(batches):
+        m = sent.value
+        vocabulary = T.Vocabulary(m.words)
+        for b in batches:
+            yield b.filter(pa.array(_above(b.column(place), m, vocabulary)[:, 0] < least))
+
+    return docs.mapInArrow(run, docs.schema)
