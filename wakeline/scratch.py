@@ -5,6 +5,7 @@ All executors see that folder, so a lost executor costs a re-read and never a re
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
@@ -13,19 +14,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where that is unset (tests, local mode), a temporary folder, set once."""
+    """The session's spark.checkpoint.dir; where that is unset in local mode (tests), a temporary folder, set once.
+
+    A cluster without that setting is an error: its executors would each write to a disk of their own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("wakeline.scratch", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("wakeline.scratch", found)
     return found.rstrip("/")
 
 
+#: Folders of this driver, with what is needed to delete them.
+_open: list = []
+
+
+def _close() -> None:
+    """When the driver ends, its results have been read: the tables they were read from go."""
+    for jvm, conf, folder in _open:
+        try:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+        except Exception:  # the JVM may have ended first
+            return
+
+
 class Scratch:
-    """A folder for one call of an operator."""
+    """A folder for one call of an operator, deleted when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        if not _open:
+            atexit.register(_close)
+        _open.append((spark._jvm, spark._jsc.hadoopConfiguration(), self.folder))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df once and read it again.
