@@ -12,8 +12,17 @@ their size, so links inside a component that is already known are not asked for:
 hub nodes of its prefix shingles, which joins the bulk of each group; then exactly the candidates between different components
 are generated and verified.  For the few nodes that are left by then the exact number of holders of each shingle is counted: their
 prefixes are drawn again in that order, and shingles that only one node has bound a pair's similarity from above, so that nodes and
-pairs that can't reach the threshold leave before their sets are compared.  No link between different components is lost, so the
-components are those of all links.
+pairs that can't reach the threshold leave before their sets are compared.
+
+What is left of a large group are copies that drifted just beyond the threshold: they link with nothing, but nearly all of them share
+nearly all their shingles, so a join on shingles makes all their pairs.  Such shingles get a pivot, a central node of the group, and
+each node near it is described anew by its difference set: what it lacks of the pivot, and what it has besides.  Two nodes are as far
+apart as their difference sets, and these have few elements in common.  A link of two nodes of which at most one is in the pivot's
+component needs a large overlap of small difference sets, and so very short prefixes of them (`_difference_prefixes`).  By the triangle
+inequality of the Jaccard distance a node near the pivot has all its partners among the nodes that are a little further, so it is
+done with, and the shingle's other nodes go on to the next pivot.  Rounds go on while the pairs left outgrow the rows left (and up to
+a number of rounds); what remains then is joined plainly.  No link between different components is lost, so the components are
+those of all links.
 
 All verification is exact, on whole sets (64-bit shingle hashes).  Fingerprints of sets are 128 bits.
 
@@ -38,8 +47,11 @@ from wakeline.llm.scratch import Scratch
 #: Cells of the document-frequency sketch, a fixed size whatever the input.
 CELLS = 1 << 18
 SLICE = 1 << 13
+SHARES = 256
 #: How many prefix shingles must match, as shares of a document's size: the least asked for, and what costly documents go up to.
 LEVELS = (0.05, 0.10, 0.20)
+#: A node of at least this similarity (as a percentage) to its shingle's pivot is done with it.
+NEAR = 50
 
 
 def _matches(s: int, level: float) -> int:
@@ -80,8 +92,11 @@ def _frequency_sketch(docs: DataFrame, n: int) -> np.ndarray:
         total = np.sum([np.frombuffer(x, np.int64) for x in part["counts"]], axis=0)
         return part.head(1).assign(counts=[total.tobytes()])
 
-    schema = "part int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).groupBy("part").applyInPandas(add, schema).collect()  # CELLS numbers
+    # added up in two levels, so that a group holds a share of the tasks' cells and then one array of each share
+    counts = docs.select("text").mapInArrow(count, "part int, counts binary").withColumn("share", F.spark_partition_id() % SHARES)
+    for keys, schema in ((("part", "share"), "part int, counts binary, share int"), (("part",), "part int, counts binary, share int")):
+        counts = counts.groupBy(*keys).applyInPandas(add, schema)
+    rows = counts.collect()  # CELLS numbers
     out = np.zeros((CELLS // SLICE, SLICE), np.int64)
     for r in rows:
         out[r.part] = np.frombuffer(r.counts, np.int64)
@@ -125,7 +140,23 @@ def _described(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> Dat
     return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, k1 long, k2 long, l int, prefix array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+class _Sets:
+    """Whole sets of nodes, of which a step on pairs moves only those that its pairs name."""
+
+    def __init__(self, sets: DataFrame, scratch: Scratch, broadcast_rows: int):
+        self.sets, self.scratch, self.bound, self.k = sets, scratch, broadcast_rows, 0
+
+    def join(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
+        """pairs with the set of a as x and that of b as y.  The ids named are counted, and sent to all executors up to the bound."""
+        self.k += 1
+        pairs = self.scratch.save(pairs, f"pairs-{self.k}")
+        ids = self.scratch.save(pairs.select(F.col(a).alias("rep")).union(pairs.select(b)).distinct(), f"ids-{self.k}")
+        sets = self.sets.join(F.broadcast(ids), "rep", "left_semi") if ids.count() <= self.bound else self.sets
+        left, right = sets.select(F.col("rep").alias(a), F.col("grams").alias("x")), sets.select(F.col("rep").alias(b), F.col("grams").alias("y"))
+        return pairs.join(left, a).join(right, b).select(*pairs.columns, "x", "y")
+
+
+def _verified(pairs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
 
     def hold(batches):
@@ -140,16 +171,118 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good))
 
-    left, right = sets.select(F.col("rep").alias("a"), F.col("grams").alias("x")), sets.select(F.col("rep").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(hold, "a long, b long")
+    return sets.join(pairs, "a", "b").mapInArrow(hold, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", hubs: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
+def _compared(pairs: DataFrame, sets: _Sets, least: int) -> DataFrame:
+    """pairs (rep, hub, further columns) of a similarity of at least ``least`` percent, with their intersection's size and the
+    elements that only one of them has."""
+
+    kept = pairs.columns
+
+    def compare(batches):
+        for b in batches:
+            x_, y_ = b.column(len(kept)), b.column(len(kept) + 1)
+            left, right = x_.values.to_numpy(), y_.values.to_numpy()
+            la, ra = x_.offsets.to_numpy(), y_.offsets.to_numpy()
+            rows, common, parts = [], [], []
+            for i in range(len(b)):
+                x, y = left[la[i] : la[i + 1]].view(np.uint64), right[ra[i] : ra[i + 1]].view(np.uint64)
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                hit = y[at] == x
+                both = int(hit.sum())
+                if 100 * both >= least * (len(x) + len(y) - both):
+                    rows.append(i)
+                    common.append(both)
+                    lacks = np.ones(len(y), bool)
+                    lacks[at[hit]] = False
+                    parts.append(np.concatenate([x[~hit], y[lacks]]).view(np.int64))
+            some = b.take(pa.array(rows, pa.int64()))
+            at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            arrays = [some.column(k) for k in range(len(kept))] + [pa.array(common, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(arrays, [*kept, "both", "d"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields) + ", both long, d array<long>"
+    return sets.join(pairs, "rep", "hub").mapInArrow(compare, schema)
+
+
+def _difference_prefixes(near: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """From nodes near a pivot (hub, rep, n, m, own, c, inside, both, d): rows to probe with, and rows to hold them against.
+
+    Two linked nodes differ in at most K = (100 - percent) * (n1 + n2) / (100 + percent) shingles, and so do their difference sets.
+    Elements that no other difference set at the pivot has are surely among these.  The rest is ordered rarest first, and the first
+    element that two nodes have in common stands early:
+    of two nodes outside the pivot's component one has at most K / 2 elements that the other lacks, and the other at most K;
+    a node inside it shares with any partner outside more than (|d| + (100 - percent) * (m - n) / (100 + percent)) / 2 elements.
+    """
+    far, whole = 100 - percent, 100 + percent
+    tokens = near.select("hub", "rep", F.explode("d").alias("e"))
+    held = tokens.groupBy("hub", "e").agg(F.count("*").alias("f")).where("f > 1")
+    shared = tokens.join(held, ["hub", "e"]).groupBy("hub", "rep").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("x"))
+    node = near.drop("d").join(shared, ["hub", "rep"]).withColumn("size", F.col("n") + F.col("m") - 2 * F.col("both")).withColumn("share", F.size("x"))
+    most = F.floor(far * (F.col("n") + F.floor((F.col("n") - F.col("own")) * 100 / percent + 1e-9)) / whole + 1e-9)
+    node = node.withColumn("k", most).withColumn("alone", F.col("size") - F.col("share"))
+    overlap = F.floor((whole * F.col("size") + far * (F.col("m") - F.col("n"))) / (2 * whole) + 1e-9) + 1
+    length = F.when(F.col("inside"), F.col("share") - overlap + 1).otherwise(F.floor(F.col("k") / 2) - F.col("alone") + 1)
+
+    def rows(df: DataFrame, length) -> DataFrame:
+        df = df.withColumn("take", F.least(length, F.col("share")).cast("int")).where("take > 0")
+        return df.select("hub", "rep", "n", "c", "size", "share", F.posexplode(F.slice("x", 1, F.col("take"))).alias("pos", "y")).select("*", F.col("y.e").alias("e")).drop("y")
+
+    return rows(node, length), rows(node.where("not inside"), F.col("k") - F.col("alone") + 1)
+
+
+def _pivot_round(placed: DataFrame, sets: _Sets, percent: int, scratch: Scratch, k: int) -> tuple[DataFrame, DataFrame]:
+    """The links of nodes near their shingle's pivot, and the rows of placed that are left."""
+    central = F.struct(F.floor(10 * F.col("own") / F.col("n")).alias("o"), F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "n", "own", "c")
+    pivot = placed.groupBy("g").agg(F.min(central).alias("p"))
+    pivot = pivot.select("g", F.col("p.rep").alias("hub"), F.col("p.n").alias("m"), F.col("p.own").alias("own2"), F.col("p.c").alias("hc"))
+    rows = scratch.save(placed.join(pivot, "g"), f"pivots-{k}")
+    p, q = F.col("n") - F.col("own"), F.col("m") - F.col("own2")
+    least = NEAR - (100 - percent)  # what a partner of a node of similarity NEAR has at least
+    fits = F.least(p, q) * 100 >= (F.greatest(p, q) + F.col("own") + F.col("own2")) * least
+    pairs = rows.where((F.col("rep") != F.col("hub")) & fits).select("rep", "hub", "n", "m", "own", "c", "hc").distinct()
+    near = _compared(pairs, sets, least)
+    union = F.col("n") + F.col("m") - F.col("both")
+    near = near.withColumn("linked", F.col("both") * 100 >= union * percent).withColumn("done", F.col("both") * 100 >= union * NEAR)
+    near = near.withColumn("inside", F.col("linked") | (F.col("c") == F.col("hc")))
+    near = scratch.save(near, f"near-{k}")
+    probe, index = _difference_prefixes(near, percent)
+    index = index.select("hub", "e", *[F.col(x).alias(f"{x}2") for x in ("rep", "n", "c", "size", "share", "pos")])
+    overlap = F.least(F.col("share") - F.col("pos"), F.col("share2") - F.col("pos2"))
+    enough = 2 * (100 + percent) * overlap >= (100 + percent) * (F.col("size") + F.col("size2")) - (100 - percent) * (F.col("n") + F.col("n2"))
+    met = probe.join(index, ["hub", "e"]).where(enough & (F.col("c") != F.col("c2")) & (F.col("rep") != F.col("rep2")))
+    met = met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    star = near.where("linked").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+    links = scratch.save(star.union(_verified(met, sets, percent)), f"near-links-{k}")
+    gone = near.where("done").select("rep", "hub")
+    left = rows.where("rep <> hub").join(gone, ["rep", "hub"], "left_anti").select(*placed.columns)
+    left = scratch.save(left.join(_mixed(left), "g"), f"placed-{k + 1}")
+    scratch.drop(f"pivots-{k}", f"near-{k}")
+    return links, left
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The shingles whose nodes lie in several components, one of the nodes being light."""
+    return placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("light").alias("some")).where("lo < hi and some").select("g")
+
+
+def _pairs_left(placed: DataFrame) -> tuple[int, int]:
+    """How many rows are left, and how many pairs of a light node with one of another component they make, each at each shingle."""
+    parts = placed.groupBy("g", "c").agg(F.count("*").cast("double").alias("n"), F.count_if("light").alias("light"))
+    sums = parts.groupBy("g").agg(F.sum("n").alias("n"), (F.sum("light") * F.sum("n") - F.sum(F.col("light") * F.col("n"))).alias("pairs"))
+    n, pairs = sums.agg(F.sum("n"), F.sum("pairs")).first()
+    return int(n or 0), int(pairs or 0)
+
+
+def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", hubs: int = 8, pivots: int = 6, dense: float = 4.0, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) for each document.
 
     class_id is the smallest doc_id with the same set, component_id the smallest reachable by links; both are the document
     itself where its set is empty.  Two documents link if 100 * intersection >= percent * union.  The ids of nodes that can have a
     partner (8 bytes each) are counted, and sent to all executors up to broadcast_rows of them; beyond it the same join shuffles.
+    pivots: rounds at most; dense: pairs a row at which another round is worth its cost.  Neither changes the result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
@@ -198,6 +331,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: s
     rows = rows.withColumn("light", (F.col("n") - F.col("own")) * 100 >= (F.col("n") + F.col("own")) * percent)
     rows = scratch.save(rows, "alive")
 
+    sets = _Sets(sets, scratch, broadcast_rows)
+
     # hubs: of each shingle's nodes one light node, the same one for most shingles of a group of near copies
     p, q = F.col("n") - F.col("own"), F.col("m") - F.col("own2")
     fits = F.least(p, q) * 100 >= (F.greatest(p, q) + F.col("own") + F.col("own2")) * percent
@@ -209,10 +344,17 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: s
     links = scratch.save(_verified(stars, sets, percent), "stars")
     known = scratch.save(components(links, scratch, "first"), "known")
 
-    # the rest: shingles whose nodes lie in several components, and there the pairs of a light node with one of another component
+    # the rest: shingles whose nodes lie in several components, by pivots while the pairs outgrow the rows
     placed = rows.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    mixed = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("light").alias("light")).where("lo < hi and light").select("g")
-    placed = scratch.save(placed.join(mixed, "g"), "placed")
+    placed = scratch.save(placed.join(_mixed(placed), "g"), "placed-0")
+    for k in range(pivots if percent > 50 else 0):
+        n_rows, n_pairs = _pairs_left(placed)
+        if n_pairs <= dense * n_rows:
+            break
+        more, placed = _pivot_round(placed, sets, percent, scratch, k)
+        scratch.drop(f"placed-{k}")
+        links = links.union(more)
+    # what remains, plainly: the pairs of a light node with one of another component
     light = placed.where("light")
     across = light.select("g", "c").distinct().join(placed.select("g", F.col("c").alias("d")).distinct(), "g").where("c <> d")
     one = across.join(light.select("g", "c", F.col("rep").alias("a"), "n", "l", "own"), ["g", "c"])
@@ -222,7 +364,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: s
     pairs = pairs.where(F.col("s") >= F.least("l", "k")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = scratch.save(links.union(_verified(pairs, sets, percent)), "links")
     known = scratch.save(components(links, scratch, "all"), "components")
-    scratch.drop("rows", "active", "sets", "counts", "alive", "stars", "placed", "known")
+    scratch.drop("rows", "active", "sets", "counts", "alive", "stars", "known")
 
     # every document, by its class
     named = nodes.select("k1", "k2", F.col("n").alias("m"), F.col("x.doc_id").alias("class_id"))
