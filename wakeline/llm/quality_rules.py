@@ -5,6 +5,8 @@ estimates how often each rule votes what for good and for bad documents, without
 posterior probability that it is good, given all votes, is high enough, and not only if it passes every rule.  The patterns
 are counted in Spark; at most 3 ** (number of rules) counts reach the driver, whatever the input.
 
+No rule's vote is taken to be rarer than a floor in either class, so that one rule can't decide against all others.
+
 Defined cases: a null or empty text has no words, so it fails the base rules and all rules abstain but the one on length;
 repeated rows are judged alike; an empty table gives an empty result; other columns are ignored.
 """
@@ -21,7 +23,7 @@ from wakeline.llm.scratch import Scratch
 
 #: The characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_shouts", "n_ends", "n_wide")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_shouts", "n_ends", "n_wide", "n_digits")
 
 
 def _flags(*codes: int) -> np.ndarray:
@@ -31,6 +33,7 @@ def _flags(*codes: int) -> np.ndarray:
 
 
 _SYMBOL, _UPPER, _SMALL, _SHOUT = _flags(*SYMBOLS), _flags(*range(65, 91)), _flags(*range(97, 123)), _flags(ord("!"))
+_DIGIT = _flags(*range(48, 58))
 _WIDE = _flags(*range(0xC0, 256))  # first bytes of characters beyond ASCII, which count as letters
 _END = _flags(*b".!?:;,\"')")
 
@@ -55,7 +58,7 @@ def chunk_counts(c: T.Chunk) -> np.ndarray:
     h = T.prefix_hash(data)
     out[:, 0] = np.diff(rows)
     out[:, 1] = T.row_sums(inside & ((data & 0xC0) != 0x80), c)
-    for k, flags in ((2, _SYMBOL), (6, _UPPER), (7, _SMALL), (8, _SHOUT), (10, _WIDE)):
+    for k, flags in ((2, _SYMBOL), (6, _UPPER), (7, _SMALL), (8, _SHOUT), (10, _WIDE), (11, _DIGIT)):
         out[:, k] = T.row_sums(flags[data], c)
     # lines: cut at \n and at the ends of rows
     cut = np.unique(np.concatenate([np.flatnonzero(data == 10) + 1, c.start, c.end]))
@@ -105,17 +108,24 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def votes() -> dict[str, Column]:
-    """Each rule's vote on a row of COUNTS: 1 good, -1 bad, 0 abstains.  Each kind of bad text has two rules or more."""
+    """Each rule's vote on a row of COUNTS: 1 good, -1 bad, 0 abstains.
+
+    The model takes rules as independent given the class, so one fact is one rule: symbols are held against words and against
+    characters in a single vote.  Digits speak neither for nor against a text.
+    """
     w, lines, chars = F.col("n_words"), F.col("n_lines"), F.col("word_chars")
     some = w > 0
     ascii_ = F.col("n_upper") + F.col("n_lower")
-    letters = ascii_ + F.col("n_wide")
+    letters, digits = ascii_ + F.col("n_wide"), F.col("n_digits")
+    counted = chars > digits
     return {
         "length": _vote(w >= 100, w < 50),
         "word_length": _vote(some & chars.between(3 * w, 9 * w), some & ~chars.between(F.lit(2.5) * w, 12 * w)),
-        "symbols": _vote(some & (50 * F.col("n_symbols") <= w), some & (10 * F.col("n_symbols") > w)),
-        "symbol_share": _vote(some & (200 * F.col("n_symbols") <= chars), some & (25 * F.col("n_symbols") > chars)),
-        "letters": _vote(some & (100 * letters >= 90 * chars), some & (100 * letters < 80 * chars)),
+        "symbols": _vote(
+            some & (50 * F.col("n_symbols") <= w) & (200 * F.col("n_symbols") <= chars),
+            some & ((10 * F.col("n_symbols") > w) | (25 * F.col("n_symbols") > chars)),
+        ),
+        "letters": _vote(counted & (100 * letters >= 90 * (chars - digits)), counted & (100 * letters < 80 * (chars - digits))),
         "same_lines": _vote((lines >= 3) & (20 * F.col("n_dup_lines") <= lines), (lines >= 2) & (10 * F.col("n_dup_lines") > 3 * lines)),
         "same_words": _vote((w >= 30) & (20 * F.col("n_repeat_words") <= w), some & (5 * F.col("n_repeat_words") > w)),
         "capitals": _vote((ascii_ > 0) & (5 * F.col("n_upper") <= ascii_), (ascii_ > 0) & (2 * F.col("n_upper") > ascii_)),
@@ -128,6 +138,8 @@ def votes() -> dict[str, Column]:
 #: the expected share of good documents, against all documents.
 EXPECTED = np.array([[0.35, 0.30, 0.35], [0.01, 0.29, 0.70]])
 EXPECTED_GOOD, TRUST = 0.85, 0.3
+#: No vote is taken to be rarer than this in either class, so that no single rule outweighs all others.
+RAREST = 0.02
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
@@ -147,6 +159,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[fl
         new = np.stack([[[weight[y][patterns[:, j] == v].sum() for v in (-1, 0, 1)] for y in (0, 1)] for j in range(k)])
         share = np.array([1 - EXPECTED_GOOD, EXPECTED_GOOD])[None, :, None]
         new = new + TRUST * total * share * EXPECTED[None]
+        new = np.maximum(new / new.sum(axis=2, keepdims=True), RAREST)
         new /= new.sum(axis=2, keepdims=True)
         moved, table = np.abs(new - table).max(), new
         prior = float((weight[1].sum() + TRUST * total * EXPECTED_GOOD) / ((1 + TRUST) * total))
