@@ -14,12 +14,13 @@ What stays are dictionary words that share a trigger with another word, at the e
 classes of all tasks meet by fingerprint; its first suffix in corpus order stays, all others start a repeat.  Only equality of
 ``length`` bytes is asked for, so ranks beyond it and the order between unequal suffixes of different tasks are never needed.
 
-Hot phrases are partial aggregates and join rows, never a list in one task; a hot suffix leaves each chunk of texts once, the rank
-over its class streams; only a document's own ranges are collected.
+Classes are told apart by two independent hashes of their bytes, together 96 bits.  Hot phrases are partial aggregates and join rows,
+never a list in one task; a hot suffix leaves each chunk of texts once, the rank over its class streams; only a document's own ranges
+are collected.
 
-Defined cases: a null text is empty; texts shorter than ``length`` are left as they are; repeated doc_ids: the rows with one doc_id
-are told apart by their text's hash and, if equal in that too, are one document with the same result for each row; a null doc_id
-counts as the smallest; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null text is empty; texts shorter than ``length`` are left as they are; rows that share a doc_id, or have none, are
+documents of their own, in order of their text's md5, and rows that are equal in both are one document with the same result for each;
+a null doc_id counts as the smallest; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,46 +98,49 @@ def suffix_classes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return rank[at]
 
 
-#: A place in a document: its start below, above it 16 bits of the text's hash, which tell rows with one doc_id apart.
-SHIFT = 40
-LOW = (1 << SHIFT) - 1
+#: A phrase's place in a document: its first start, above the number of its further starts.
+WIDTH = 8
 
 
 def _spans(length: int):
-    """(t, p, doc, place, w): trigger, phrase, document, first start, and number of further starts."""
+    """(t, p, doc, at): trigger, phrase, document, and place with width."""
 
     def run(batches):
         for b in batches:
-            twin = b.column(1).to_numpy(zero_copy_only=False)
-            for c in T.chunks(b.column(2)):
+            for c in T.chunks(b.column(1)):
                 row, t, p, lo, width, _ = parse(c, length)
-                row += c.lo
-                place = (twin[row].astype(np.int64) << SHIFT) | lo
-                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(p.view(np.int64)), b.column(0).take(pa.array(row)), pa.array(place), pa.array(width.astype(np.int32))], ["t", "p", "doc", "place", "w"])
+                doc = b.column(0).take(pa.array(row + c.lo))
+                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(p.view(np.int64)), doc, pa.array((lo << WIDTH) | width)], ["t", "p", "doc", "at"])
 
     return run
 
 
+def _fingerprint(c: T.Chunk, h: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the strings at the places given, of 64 and 32 bits."""
+    return T.mix(T.span_hash(h, at, at + length), 9).view(np.int64), T.second_hash(c.data, at, length)
+
+
 def _edge_suffixes(length: int):
-    """The suffixes of dictionary words, as (f, doc, place, known).
+    """The suffixes of dictionary words, as (f, f2, doc, lo, known).
 
-    Of equal suffixes in one chunk of texts the first in corpus order is a row with the fingerprint f of its class; the others start a
+    Of equal suffixes in one chunk of texts the first in corpus order is a row with the fingerprint of its class; the others start a
     repeat for certain and are marked known.
     """
 
     def run(batches):
         for b in batches:
-            column, spans = b.column(2), b.column(3)
-            doc, twin = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            column, spans = b.column(1), b.column(2)
+            doc = b.column(0).to_numpy(zero_copy_only=False)
             at_list = spans.offsets.to_numpy()
-            los, widths = spans.values.field("lo").to_numpy(), spans.values.field("w").to_numpy()
+            ats = spans.values.to_numpy()
             for c in T.chunks(column):
-                lo, w = los[at_list[c.lo] : at_list[c.hi]], widths[at_list[c.lo] : at_list[c.hi]]
-                if not len(lo):
+                words = ats[at_list[c.lo] : at_list[c.hi]]
+                if not len(words):
                     continue
+                lo, w = words >> WIDTH, words & ((1 << WIDTH) - 1)
                 h = T.prefix_hash(c.data)
                 row = np.repeat(np.repeat(np.arange(c.hi - c.lo), np.diff(at_list[c.lo : c.hi + 1])), w + 1)
-                s = T.within(lo.astype(np.int64), np.arange(len(lo)), (w + 1).astype(np.int64))
+                s = T.within(lo, np.arange(len(lo)), w + 1)
                 at = s + c.start[row]
                 # only the bytes of the words take part in the sort
                 mark = np.zeros(len(c.data) + 1, np.int64)
@@ -145,8 +149,7 @@ def _edge_suffixes(length: int):
                 used = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
                 classes = suffix_classes(c.data[used], np.searchsorted(used, at), length)
                 row += c.lo
-                place = (twin[row].astype(np.int64) << SHIFT) | s
-                order = np.lexsort((place, doc[row], classes))
+                order = np.lexsort((s, doc[row], classes))
                 first = np.empty(len(order), bool)
                 first[0] = True
                 first[1:] = classes[order[1:]] != classes[order[:-1]]
@@ -154,10 +157,10 @@ def _edge_suffixes(length: int):
                 known[order[first]] = False
                 # a row with the same doc_id and text is the same document, its suffixes are no repeats
                 same = np.zeros(len(order), bool)
-                same[1:] = ~first[1:] & (doc[row[order[1:]]] == doc[row[order[:-1]]]) & (place[order[1:]] == place[order[:-1]])
+                same[1:] = ~first[1:] & (doc[row[order[1:]]] == doc[row[order[:-1]]]) & (s[order[1:]] == s[order[:-1]])
                 known[order[same]] = False
-                finger = T.mix(T.span_hash(h, at, at + length), 9)
-                yield pa.RecordBatch.from_arrays([pa.array(finger.view(np.int64)), pa.array(doc[row]), pa.array(place), pa.array(known)], ["f", "doc", "place", "known"])
+                f, f2 = _fingerprint(c, h, at, length)
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(f2), pa.array(doc[row]), pa.array(s.astype(np.int32)), pa.array(known)], ["f", "f2", "doc", "lo", "known"])
 
     return run
 
@@ -204,42 +207,54 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, doc_id: str = "doc_id"
         raise ValueError(f"length must be above {GRAM}")
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
-    docs = docs.select(doc.alias("doc"), F.xxhash64(whole).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("twin"), whole.alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
-    texts = docs.select("doc", "twin", "text").where(F.octet_length("text") >= length)
-    phrases = scratch.save(texts.mapInArrow(_spans(length), "t long, p long, doc long, place long, w int"), "all")
-
-    # phrases whose trigger occurs more than once
-    again = phrases.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    else:
+        docs = _numbered(docs, scratch)
+    texts = docs.select("doc", "text").where(F.octet_length("text") >= length)
+    phrases = scratch.save(texts.mapInArrow(_spans(length), "t long, p long, doc long, at long"), "all")
+
+    # phrases whose trigger occurs more than once; written, so that the join can split a hot trigger
+    again = scratch.save(phrases.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t"), "again")
     phrases = scratch.save(phrases.join(again, "t"), "phrases")
-    scratch.drop("all")
+    scratch.drop("all", "again")
 
     # dictionary: equal phrases, their first occurrence, and whether another word has the same trigger
-    place = F.struct("doc", "place")
+    place = F.struct("doc", "at")
     words = phrases.groupBy("t", "p").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     words = scratch.save(words, "words")
     several = words.groupBy("t").agg(F.count("*").alias("words")).where("words > 1").select("t", F.lit(True).alias("edge"))
     words = words.join(several, "t", "left").where("n > 1 or edge").select("t", "p", "first", F.coalesce("edge", F.lit(False)).alias("edge"))
-    placed = phrases.join(words, ["t", "p"]).select("doc", "place", "w", "edge", (place == F.col("first")).alias("is_first"))
+    placed = phrases.join(words, ["t", "p"]).select("doc", "at", "edge", (place == F.col("first")).alias("is_first"))
     placed = scratch.save(placed.where("edge or not is_first"), "placed")
     scratch.drop("phrases", "words")
-    twin, start = F.shiftrightunsigned("place", SHIFT).cast("int").alias("twin"), F.col("place").bitwiseAND(F.lit(LOW)).cast("int")
-    later = placed.where("not is_first").select("doc", twin, start.alias("lo"), (start + F.col("w")).alias("hi"))
-    edges = placed.where("is_first").groupBy("doc", twin).agg(F.collect_list(F.struct(start.alias("lo"), "w")).alias("spans"))
+    start = F.shiftright("at", WIDTH).cast("int")
+    later = placed.where("not is_first").select("doc", start.alias("lo"), (start + F.col("at").bitwiseAND(F.lit((1 << WIDTH) - 1))).cast("int").alias("hi"))
+    edges = placed.where("is_first").groupBy("doc").agg(F.collect_list("at").alias("spans"))
     edges = scratch.save(edges, "edges")
 
     # suffixes of the words at the edges; those that are first in their task meet by class
     near = F.broadcast(edges) if (edges.agg(F.sum(F.size("spans") * 8 + 32)).first()[0] or 0) <= broadcast_bytes else edges
-    suffixes = texts.join(near, ["doc", "twin"]).select("doc", "twin", "text", "spans").mapInArrow(_edge_suffixes(length), "f long, doc long, place long, known boolean")
+    suffixes = texts.join(near, "doc").select("doc", "text", "spans").mapInArrow(_edge_suffixes(length), "f long, f2 int, doc long, lo int, known boolean")
     suffixes = scratch.save(suffixes, "suffixes")
-    order = W.partitionBy("f").orderBy("doc", "place")
-    ranked = suffixes.where("not known").select("doc", "place", F.rank().over(order).alias("r")).where("r > 1").select("doc", "place")
-    repeated = suffixes.where("known").select("doc", "place").union(ranked).select("doc", twin, start.alias("lo"), start.alias("hi"))
+    order = W.partitionBy("f", "f2").orderBy("doc", "lo")
+    ranked = suffixes.where("not known").select("doc", "lo", F.rank().over(order).alias("r")).where("r > 1").select("doc", "lo")
+    repeated = suffixes.where("known").select("doc", "lo").union(ranked).select("doc", "lo", F.col("lo").alias("hi"))
 
-    ranges = later.union(repeated).groupBy("doc", "twin").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = later.union(repeated).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     ranges = scratch.save(ranges, "ranges")
     scratch.drop("placed", "edges", "suffixes")
-    out = docs.join(ranges, ["doc", "twin"], "left").select("doc_id", "text", "ranges")
+    out = docs.join(ranges, "doc", "left").select("doc_id", "text", "ranges")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return out.mapInArrow(_cut(length, with_text), schema)
+
+
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with a number doc for each different pair of doc_id and text, in order of doc_id (null first) and the text's md5.
+
+    Numbers ascend over the ranges of one sort, so no task sees more than its range.
+    """
+    keys = docs.select("doc_id", F.md5("text").alias("sum")).distinct().orderBy(F.asc_nulls_first("doc_id"), "sum")
+    keys = scratch.save(keys.withColumn("doc", F.monotonically_increasing_id()), "numbers").select(F.col("doc_id").alias("id2"), F.col("sum").alias("sum2"), "doc")
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.md5("text") == F.col("sum2"))).select("doc_id", "text", "doc")

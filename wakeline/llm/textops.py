@@ -120,6 +120,18 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (h[end] - h[start]) * down[start]
 
 
+#: A number for each byte, for a second hash.
+_CODES = mix(np.arange(256, dtype=np.uint64), 77)
+
+
+def second_hash(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A 32-bit hash of the bytes at .. at + length, of other numbers for the bytes than ``span_hash``."""
+    up, down = powers(len(data) + 1)
+    h = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_CODES[data] * up[: len(data)], out=h[1:])
+    return (mix((h[at + length] - h[at]) * down[at], 13) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def word_hashes(c: Chunk, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word, and the number of words before each row; fold: A-Z as a-z."""
     ws, we, rows = word_spans(c)
