@@ -44,15 +44,6 @@ r AS (SELECT doc_id AS node, doc_id AS reach FROM n UNION SELECT r.node, bo.b FR
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(reach) AS component_id, min(class_id) AS class_id FROM n JOIN r ON r.node = n.doc_id GROUP BY n.doc_id, n.n
 """
 
-#: For pages that mark their article as <article>, without inner parts that aren't text: all of the given tables.
-OP9 = r"""
-WITH a AS (SELECT page_id, url, regexp_replace(coalesce(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), ''), '<br\s*/?>', ' ', 'g') AS h FROM pages),
-b AS (SELECT page_id, url, list_transform(regexp_split_to_array(h, '</?(?:p|h1|h2|h3|ul|ol|li|div)(?:\s[^>]*)?>'), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS parts FROM a),
-c AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts FROM b),
-t AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM c)
-SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
-"""
-
 #: For pages that mark their article as <article>, without inner parts that aren't text: all of the given tables.
 OP9 = r"""
 WITH a AS (SELECT page_id, url, regexp_replace(coalesce(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), ''), '<br\s*/?>', ' ', 'g') AS h FROM pages),
