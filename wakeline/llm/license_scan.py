@@ -223,13 +223,23 @@ def train(background: list[str], *, copies: int = 24, rounds: int = 150, seed: i
 
 
 def background_sample(docs: DataFrame, *, sample: int = 2000, text: str = "text", doc_id: str = "doc_id") -> list[str]:
-    """One paragraph, of at most 300 characters, of each of at most ``sample`` documents by hash order."""
-    lines = F.filter(F.split(F.col(text), "\n"), lambda x: F.length(F.trim(x)) > 0)
-    one = F.element_at(lines, F.pmod(F.xxhash64(F.col(doc_id), F.lit(3)), F.size(lines)).cast("int") + 1)
-    picked = docs.where(F.col(text).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.xxhash64(F.col(doc_id), F.lit(1)).alias("o"), F.col(doc_id).alias("i"))
-    picked = picked.orderBy("o", "i").limit(sample).select("i").distinct()
-    rows = docs.join(F.broadcast(picked), F.col(doc_id) == F.col("i")).where(F.size(lines) > 0).select(F.substring(one, 1, 300).alias("p")).limit(2 * sample).collect()
-    return sorted(r.p for r in rows if r.p)
+    """One window of words, as long as those that are scanned, of one paragraph of each of at most ``sample`` documents.
+
+    Documents are taken in order of a hash of doc_id and text, paragraph and window by another, so the sample is the same in each run.
+    """
+    rows = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("body")).where(F.length(F.trim("body")) > 0)
+    rows = rows.select("key", "body", F.xxhash64("key", "body", F.lit(1)).alias("place"), F.md5("body").alias("sum"))
+    picked = rows.select("place", "key", "sum").orderBy("place", "key", "sum").limit(sample).distinct()
+    picked = picked.select(F.col("place").alias("place2"), F.col("sum").alias("sum2"))
+    rows = rows.join(F.broadcast(picked), (F.col("place") == F.col("place2")) & (F.col("sum") == F.col("sum2")))  # sample rows of 40 bytes
+    lines = F.filter(F.split("body", "\n"), lambda x: F.length(F.trim(x)) > 0)
+    rows = rows.select("place", lines.alias("lines")).where(F.size("lines") > 0)
+    line = F.element_at("lines", (F.pmod(F.xxhash64("place", F.lit(3)), F.size("lines")) + 1).cast("int"))
+    words = F.filter(F.split(line, r"\s+"), lambda x: (x != "") & (F.length(x) <= 100))  # no word of a notice is as long
+    rows = rows.select("place", words.alias("words"))
+    first = F.pmod(F.xxhash64("place", F.lit(4)), F.greatest(F.size("words") - LONG, F.lit(0)) + 1).cast("int") + 1
+    rows = rows.select(F.array_join(F.slice("words", first, LONG), " ").alias("p")).distinct()
+    return sorted(r.p for r in rows.collect() if r.p)
 
 
 def scan(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", overlap: float = 0.6) -> DataFrame:

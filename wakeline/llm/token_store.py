@@ -13,7 +13,8 @@ those of the text.  That holds for byte-level BPE with the usual pattern of runs
 checked when the tokenizer is read; others encode whole texts.  Where a text holds an added token's content that the tokenizer takes
 as that token, the text is encoded whole.  Contents of special tokens are taken so with ``added_tokens``, else read as plain text.
 
-Defined cases: a null or empty text has only the end id; null doc_ids come first; rows with equal doc_ids follow one another, by text;
+Defined cases: a null or empty text has only the end id; null doc_ids come first; rows with equal doc_ids follow one another, by the text's hash,
+and may lie in several files;
 an empty table gives no file and no rows; other columns are ignored.
 """
 
@@ -190,7 +191,8 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, length: int =
     """Write the files, and a manifest table (part, n_docs, n_tokens) in folder/manifest, which is returned."""
     spark = docs.sparkSession
     folder = _qualified(spark, folder)
-    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    ordered = ordered.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     manifest = ordered.mapInArrow(_write(f"{folder}/files", tokenizer, length, end_id, added_tokens), "part int, n_docs long, n_tokens long")
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(manifest.schema).parquet(f"{folder}/manifest")

@@ -9,6 +9,8 @@ severity, the sum over k of P(grade > k).
 The fit takes a bounded sample of labelled documents (``sample`` of each class, by hash order of doc_id); scoring covers every whole
 text.  Words are runs of letters in lower case.
 
+Documents that are toxic by label but hold none of the toxic words aren't learned from: nothing in the text tells their grade.
+
 Defined cases: a null text or one without letters has no features and severity of an empty text, far below the threshold; labels
 that are null, or whose documents are missing, aren't learned from; a document with contradicting labels counts as toxic; without toxic
 labels nothing is toxic; repeated rows are scored alike; an empty table gives an empty result; other columns are ignored.
@@ -82,12 +84,13 @@ def _features(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, grades: int = 3, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Learn from at most 2 * sample labelled documents."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit(5), F.col("doc_id"))
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(sample).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(sample))
-    picked = picked.withColumnRenamed("doc_id", "_id")
-    rows = docs.join(F.broadcast(picked), F.col(doc_id) == F.col("_id"))  # at most 2 * sample rows
-    got = rows.select(F.col("toxic").cast("int").alias("toxic"), F.col(text).alias("text")).mapInArrow(_features, "toxic int, n long, h binary, c binary").collect()
+    texts = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text"))
+    picked = picked.select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic"))
+    rows = texts.join(F.broadcast(picked), F.col("key") == F.col("labelled"))  # at most 2 * sample labels
+    got = rows.select("toxic", "text").mapInArrow(_features, "toxic int, n long, h binary, c binary").collect()
     got = [r for r in got if r.n]
     nothing = Model(np.zeros(0, np.uint64), np.zeros(0), np.array([5.0 + k for k in range(grades)]))
     toxic = np.array([r.toxic for r in got], bool)
