@@ -102,6 +102,18 @@ def suffix_classes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 WIDTH = 8
 
 
+def _triggers(length: int):
+    """(t, n): the triggers of each chunk of texts, counted."""
+
+    def run(batches):
+        for b in batches:
+            for c in T.chunks(b.column(0)):
+                t, n = np.unique(parse(c, length)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n)], ["t", "n"])
+
+    return run
+
+
 def _spans(length: int):
     """(t, p, doc, at): trigger, phrase, document, and place with width."""
 
@@ -124,7 +136,7 @@ def _edge_suffixes(length: int):
     """The suffixes of dictionary words, as (f, f2, doc, lo, known).
 
     Of equal suffixes in one chunk of texts the first in corpus order is a row with the fingerprint of its class; the others start a
-    repeat for certain and are marked known.
+    repeat for certain and are marked known, with a hash of their place for f.
     """
 
     def run(batches):
@@ -160,6 +172,7 @@ def _edge_suffixes(length: int):
                 same[1:] = ~first[1:] & (doc[row[order[1:]]] == doc[row[order[:-1]]]) & (s[order[1:]] == s[order[:-1]])
                 known[order[same]] = False
                 f, f2 = _fingerprint(c, h, at, length)
+                f = np.where(known, T.mix(at.astype(np.uint64), 3).view(np.int64), f)  # not asked for again: dealt evenly
                 yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(f2), pa.array(doc[row]), pa.array(s.astype(np.int32)), pa.array(known)], ["f", "f2", "doc", "lo", "known"])
 
     return run
@@ -212,13 +225,23 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, doc_id: str = "doc_id"
         docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
     else:
         docs = _numbered(docs, scratch)
-    texts = docs.select("doc", "text").where(F.octet_length("text") >= length)
-    phrases = scratch.save(texts.mapInArrow(_spans(length), "t long, p long, doc long, at long"), "all")
+    ranges = _repeats(docs.select("doc", "text").where(F.octet_length("text") >= length), length, broadcast_bytes, scratch)
+    scratch.drop("placed", "edges")
+    scratch.free()
+    out = docs.join(ranges, "doc", "left").select("doc_id", "text", "ranges")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    return out.mapInArrow(_cut(length, with_text), schema)
+
 
-    # phrases whose trigger occurs more than once; written, so that the join can split a hot trigger
-    again = scratch.save(phrases.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t"), "again")
-    phrases = scratch.save(phrases.join(again, "t"), "phrases")
-    scratch.drop("all", "again")
+def _repeats(texts: DataFrame, length: int, broadcast_bytes: int, scratch: Scratch) -> DataFrame:
+    """(doc, ranges): first starts and last starts of runs of strings that start earlier too, for each document with any."""
+    # phrases whose trigger occurs more than once; texts are parsed twice, as all phrases would be a table of twice the texts' size.
+    # The triggers are written, so that the join can split a hot one
+    again = texts.select("text").mapInArrow(_triggers(length), "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    again = scratch.save(again.where("n > 1").select("t"), "again")
+    phrases = texts.mapInArrow(_spans(length), "t long, p long, doc long, at long").join(again, "t")
+    phrases = scratch.save(phrases, "phrases")
+    scratch.drop("again")
 
     # dictionary: equal phrases, their first occurrence, and whether another word has the same trigger
     place = F.struct("doc", "at")
@@ -237,17 +260,11 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, doc_id: str = "doc_id"
     # suffixes of the words at the edges; those that are first in their task meet by class
     near = F.broadcast(edges) if (edges.agg(F.sum(F.size("spans") * 8 + 32)).first()[0] or 0) <= broadcast_bytes else edges
     suffixes = texts.join(near, "doc").select("doc", "text", "spans").mapInArrow(_edge_suffixes(length), "f long, f2 int, doc long, lo int, known boolean")
-    suffixes = scratch.save(suffixes, "suffixes")
-    order = W.partitionBy("f", "f2").orderBy("doc", "lo")
-    ranked = suffixes.where("not known").select("doc", "lo", F.rank().over(order).alias("r")).where("r > 1").select("doc", "lo")
-    repeated = suffixes.where("known").select("doc", "lo").union(ranked).select("doc", "lo", F.col("lo").alias("hi"))
+    order = W.partitionBy("f", "f2", "known").orderBy("doc", "lo")
+    repeated = suffixes.withColumn("r", F.rank().over(order)).where("known or r > 1").select("doc", "lo", F.col("lo").alias("hi"))
 
     ranges = later.union(repeated).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    ranges = scratch.save(ranges, "ranges")
-    scratch.drop("placed", "edges", "suffixes")
-    out = docs.join(ranges, "doc", "left").select("doc_id", "text", "ranges")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return out.mapInArrow(_cut(length, with_text), schema)
+    return scratch.save(ranges, "ranges")
 
 
 def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
