@@ -52,16 +52,20 @@ class Scratch:
         _open.append((spark._jvm, spark._jsc.hadoopConfiguration(), self.folder))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and read it again.
-
-        Spark deletes shuffle files when the driver's JVM collects what refers to them; that is asked for here, so that the files of
-        steps whose results are in tables don't pile up on the executors' disks.
-        """
+        """Write df once and read it again, after the files of steps before it have gone."""
+        self.free()
         path = f"{self.folder}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def free(self) -> None:
+        """Let the executors delete shuffle files that no DataFrame refers to any more.
+
+        Spark deletes them when the driver's JVM collects what refers to them, which a driver with little to do may not do for
+        half an hour; by then the files of all steps would have piled up on the executors' disks.
+        """
         gc.collect()
         self.spark._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
