@@ -67,3 +67,58 @@ def ship_category(code: Column) -> Column:
         .when(code.between(80, 89), "tanker")
         .otherwise("other")
     )
+
+
+#: Names of buoys and net markers, with a battery or signal suffix or a serial number; names of fishing boats.
+GEAR_NAME = r"%|^[A-Z]{1,4}\d*-+\d|-{2,}|^(.)\1{5,}$|^[^A-Z0-9]{3,}$|^\W*[0-9 ]{5,}\W*$"
+FISHING_NAME = r"[A-Z]{2,}YU\s?\d{2,}|\bFV\b|FISHING|TRAWL|\bYU\s?\d{3,}|NO\.?\s?\d+$"
+#: Ship types that sail repeated lines by their trade.
+EXEMPT_TYPES = ("fishing", "pleasure", "passenger", "ferry", "tug", "pilot", "sar", "service", "dredger")
+#: A feed's vessel classes, and navigational statuses by text.
+FEED_CLASSES = {
+    "FISHING": "fishing",
+    "CARGO": "cargo",
+    "PASSENGER": "passenger",
+    "CARRIER": "carrier",
+    "BUNKER": "bunker",
+    "SEISMIC_VESSEL": "seismic",
+    "OTHER": "other",
+    "NA": "other",
+}
+NAV_STATUS = {
+    "UNDER_WAY_USING_ENGINE": 0,
+    "AT_ANCHOR": 1,
+    "NOT_UNDER_COMMAND": 2,
+    "RESTRICTED_MANEUVERABILITY": 3,
+    "CONSTRAINED_BY_DRAUGHT": 4,
+    "MOORED": 5,
+    "AGROUND": 6,
+    "ENGAGED_IN_FISHING": 7,
+    "UNDER_WAY_SAILING": 8,
+}
+
+
+def looks_like_gear(name: Column, mmsi: Column) -> Column:
+    """Whether a name is that of a buoy or net marker; a name that only repeats the vessel's number says nothing."""
+    n = F.upper(F.trim(F.coalesce(name, F.lit(""))))
+    return (n != "") & (n != F.coalesce(mmsi, F.lit(""))) & n.rlike(GEAR_NAME)
+
+
+def is_exempt(ship_type: Column, name: Column) -> Column:
+    """Whether a vessel may sail repeated lines: by type, or a fishing boat by name."""
+    n = F.replace(F.upper(F.coalesce(name, F.lit(""))), F.lit("-"), F.lit(""))
+    return F.coalesce(ship_type.isin(*EXEMPT_TYPES), F.lit(False)) | n.rlike(FISHING_NAME)
+
+
+def looked_up(text: Column, table: dict) -> Column:
+    """The value of a text in a fixed table, null where it has none."""
+    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.try_element_at(pairs, F.upper(F.trim(text)))
+
+
+def live_kinematics(kind: Column, sog: Column, cog: Column, heading: Column) -> tuple[Column, Column, Column]:
+    """Speed, course and heading of a live message, null where they hold the message type's "not available"."""
+    far = kind == 27
+    speed = F.when(far, F.when(sog < 63, sog)).otherwise(F.when(sog < 102.3, sog))
+    course = F.when(far, F.when(cog < 511, cog)).otherwise(F.when(cog < 360, cog))
+    return speed, course, F.when(heading < 511, heading)
