@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wakeline.functions import geo
+from wakeline.operators.ranges import running_sum
 
 
 def densify(df: DataFrame, step_nm: float = 1.0, max_dt_s: float = 1800.0, max_kn: float = 50.0, most: int = 400) -> DataFrame:
@@ -63,6 +64,8 @@ def gap_habits(df: DataFrame, least: int = 15) -> DataFrame:
 
 def peer_percentile(gaps: DataFrame, least: int = 500) -> DataFrame:
     """gaps (vessel_type, gap, ...) with the share of its type's gaps that are strictly smaller; null below ``least`` peers."""
-    n = F.count("*").over(W.partitionBy("vessel_type"))
-    below = F.rank().over(W.partitionBy("vessel_type").orderBy("gap")) - 1
-    return gaps.withColumn("peer", F.when(n >= least, below / n))
+    counts = gaps.groupBy("vessel_type", "gap").agg(F.count("*").alias("_m"))
+    below = running_sum(counts, ["vessel_type"], [F.col("gap").asc()], "_m", "_below").drop("_m")
+    peers = counts.groupBy("vessel_type").agg(F.sum("_m").alias("_n"))
+    found = below.join(peers, "vessel_type").select("vessel_type", "gap", F.when(F.col("_n") >= least, F.col("_below") / F.col("_n")).alias("peer"))
+    return gaps.join(found, ["vessel_type", "gap"], "left").select(*gaps.columns, "peer")

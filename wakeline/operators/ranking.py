@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from wakeline.operators.ranges import row_numbers, running_sum
+
 
 def reference_profile(long: DataFrame) -> DataFrame:
     """(feature, n, p25, median, p75, mad, scale, rule) of (feature, value): scale by quartiles, else by MAD, else inactive."""
@@ -20,15 +22,16 @@ def reference_profile(long: DataFrame) -> DataFrame:
 def midranks(reference: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
     """queries (keys, value, ...) with p = (smaller + half the equal) / n within the reference values of the same keys.
 
-    One union and running counts by value: no join of queries with the reference.
+    All values are counted first; running counts over ranges of them, then one equi-join by value: no query meets the whole reference,
+    and no task holds a whole feature.
     """
     ref = reference.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("_m"))
-    both = ref.select(*keys, "value", "_m", F.lit(0).alias("_side")).unionByName(queries.withColumns({"_m": F.lit(0).cast("long"), "_side": F.lit(1)}), allowMissingColumns=True)
-    w = W.partitionBy(*keys).orderBy("value").rangeBetween(W.unboundedPreceding, 0)
-    total, same = F.sum("_m").over(W.partitionBy(*keys)), F.sum("_m").over(W.partitionBy(*keys, "value"))
-    upto = F.sum("_m").over(w)
-    out = both.withColumn("p", F.when(total > 0, (upto - same + 0.5 * same) / total))
-    return out.where("_side = 1").drop("_m", "_side").withColumn("p", F.when(F.col("value").isNotNull(), F.col("p")))
+    asked = queries.where("value is not null").select(*keys, "value", F.lit(0).cast("long").alias("_m"))
+    values = ref.select(*keys, "value", "_m").unionByName(asked).groupBy(*keys, "value").agg(F.sum("_m").alias("_m"))
+    values = running_sum(values, keys, [F.col("value").asc()], "_m", "_less")
+    total = ref.groupBy(*keys).agg(F.sum("_m").alias("_total"))
+    p = F.when(F.col("_total") > 0, (F.col("_less") + 0.5 * F.col("_m")) / F.col("_total"))
+    return queries.join(values.join(total, keys).select(*keys, "value", p.alias("p")), [*keys, "value"], "left").select(*queries.columns, "p")
 
 
 def best_two(scores: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
@@ -37,13 +40,19 @@ def best_two(scores: DataFrame, keys: list[str], group: str, value: str) -> Data
     return top.select(*keys, (0.7 * F.col("_s")[0] + 0.3 * F.coalesce(F.get("_s", F.lit(1)), F.lit(0.0))).alias("score"))
 
 
-def rank(scores: DataFrame, score: str, tie: list[str], budget: int, method: list[str] | None = None) -> DataFrame:
-    """Adds rank by score, ties in the given order, and whether it is within the budget; with cutoff_tie where the score equals the last one in."""
-    part = W.partitionBy(*method) if method else W.partitionBy(F.lit(0))
-    out = scores.withColumn("rank", F.row_number().over(part.orderBy(F.desc(score), *tie)))
+def rank(scores: DataFrame, score: str, tie: list[str], budget: int, keep: int | None = None) -> DataFrame:
+    """Adds rank by score, ties in the given order, and whether it is within the budget; with cutoff_tie where the score equals the last one in.
+
+    keep: only so many of the first rows are wanted, by a bounded sort; else every row is ranked, over ranges of one sort.
+    """
+    order = [F.desc(score), *[F.col(c).asc() for c in tie]]
+    if keep is not None:
+        out = scores.orderBy(*order).limit(keep).withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long"))  # keep rows
+    else:
+        out = row_numbers(scores, order)
     out = out.withColumn("shortlisted", F.col("rank") <= budget)
-    edge = F.min(F.when(F.col("shortlisted"), F.col(score))).over(part)
-    return out.withColumn("cutoff_tie", F.col(score) == edge)
+    edge = out.where("shortlisted").agg(F.min(score).alias("_edge"))  # one row
+    return out.crossJoin(F.broadcast(edge)).withColumn("cutoff_tie", F.col(score) == F.col("_edge")).drop("_edge")
 
 
 def top_reasons(components: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
@@ -72,7 +81,6 @@ def roc_auc(df: DataFrame, label: Column, score: Column, keys: list[str] | None
     """
     keys = keys or []
     c = df.select(*keys, label.cast("int").alias("_y"), score.alias("_s")).where("_y is not null and _s is not null").groupBy(*keys, "_s").agg(F.sum("_y").alias("_p"), F.count("*").alias("_n"))
-    w = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    c = c.withColumn("_mean", F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2)
+    c = running_sum(c, keys, [F.col("_s").asc()], "_n", "_below").withColumn("_mean", F.col("_below") + (F.col("_n") + 1) / 2)
     pos, neg = F.sum("_p"), F.sum(F.col("_n") - F.col("_p"))
     return c.groupBy(*keys).agg(pos.alias("positives"), neg.alias("negatives"), F.try_divide(F.sum(F.col("_p") * F.col("_mean")) - pos * (pos + 1) / 2, (pos * neg).cast("double")).alias("auc"))

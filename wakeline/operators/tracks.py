@@ -79,18 +79,21 @@ def windows(df: DataFrame, cfg: TrackConfig) -> DataFrame:
     """
     seg = W.partitionBy("segment_id")
     t0, t1 = F.min("t").over(seg), F.max("t").over(seg)
-    df = df.withColumns({"t0": t0, "n_windows": F.floor((t1 - t0 - cfg.window_s) / cfg.stride_s) + 1})
+    df = _pairs(df, cfg).withColumns({"t0": t0, "n_windows": F.floor((t1 - t0 - cfg.window_s) / cfg.stride_s) + 1})
     since = F.col("t") - F.col("t0")
     first = F.greatest(F.lit(0), F.floor((since - cfg.window_s) / cfg.stride_s) + 1)
     last = F.least(F.col("n_windows") - 1, F.floor(since / cfg.stride_s))
     df = df.withColumns({"_a": first.cast("long"), "_b": last.cast("long")}).where("_b >= _a")
-    return df.withColumn("window_ordinal", F.explode(F.sequence("_a", "_b"))).withColumn("window_start", F.col("t0") + F.col("window_ordinal") * cfg.stride_s).drop("_a", "_b")
+    df = df.withColumn("window_ordinal", F.explode(F.sequence("_a", "_b"))).withColumn("window_start", F.col("t0") + F.col("window_ordinal") * cfg.stride_s).drop("_a", "_b")
+    inside = F.col("_t") >= F.col("window_start")  # else the report before isn't in the window
+    return df.withColumns({c: F.when(inside, F.col(c)) for c in ("_t", "_sog", "_course", "_turn", "_leg", "_dt")})
 
 
 def _pairs(df: DataFrame, cfg: TrackConfig) -> DataFrame:
-    w = W.partitionBy("segment_id", "window_ordinal").orderBy("t", "event_id")
+    """Adds what a report makes with the one before it in its segment: once, before reports are copied to their windows."""
+    w = W.partitionBy("segment_id").orderBy("t", "event_id")
     before = {f"_{c}": F.lag(c).over(w) for c in ("t", "sog", "cog", "latitude", "longitude")}
-    return df.withColumns(before).withColumns(
+    paired = df.withColumns(before).withColumns(
         {
             "_course": (F.col("sog") >= cfg.course_min_kn) & (F.col("_sog") >= cfg.course_min_kn) & F.col("cog").isNotNull() & F.col("_cog").isNotNull(),
             "_turn": F.abs(geo.circular_difference(F.col("_cog"), F.col("cog"))),
@@ -98,6 +101,7 @@ def _pairs(df: DataFrame, cfg: TrackConfig) -> DataFrame:
             "_dt": F.col("t") - F.col("_t"),
         }
     )
+    return paired.drop("_cog", "_latitude", "_longitude")
 
 
 def window_table(df: DataFrame, cfg: TrackConfig) -> DataFrame:
@@ -110,7 +114,7 @@ def window_table(df: DataFrame, cfg: TrackConfig) -> DataFrame:
     low = (F.col("sog") < cfg.low_speed_kn) & (F.col("_sog") < cfg.low_speed_kn) & (F.col("_dt") > 0)
     drift = F.abs(geo.circular_difference(F.col("cog"), F.col("heading")))
     where = F.struct("t", "event_id", "latitude", "longitude")
-    g = _pairs(df, cfg).groupBy("track_id", "segment_id", "window_ordinal").agg(
+    g = df.groupBy("track_id", "segment_id", "window_ordinal").agg(
         F.min("window_start").alias("window_start"),
         F.count("*").alias("n"),
         (F.max("t") - F.min("t")).alias("span_s"),

@@ -22,7 +22,7 @@ LISTED = "ls0 AS (SELECT DISTINCT f.track_id, EXISTS (SELECT 1 FROM supplier s W
 
 @query("AG24_shortlist_shares", SCORE + ", z AS (SELECT *, round(score, 9) AS rs FROM sc), kk AS (SELECT segment_id, row_number() OVER (ORDER BY rs DESC, segment_id, window_ordinal) AS rank FROM z), tk AS (SELECT split_part(segment_id, ':', 1) AS track_id, count(*) AS n FROM kk WHERE rank <= 50 GROUP BY 1) SELECT count(*) AS tracks, sum(n)::BIGINT AS windows, round(max(n) / sum(n), 6) AS max_share, count(*) >= 10 AND max(n) / sum(n) <= 0.2 AS eligible FROM tk")
 def shortlist_shares(spark, sf_dir):
-    ranked = R.rank(scores(spark, sf_dir).withColumn("score", F.round("score", 9)), "score", ["segment_id", "window_ordinal"], 50).where("shortlisted")
+    ranked = R.rank(scores(spark, sf_dir).withColumn("score", F.round("score", 9)), "score", ["segment_id", "window_ordinal"], 50, keep=50).where("shortlisted")
     n = ranked.groupBy(F.split_part("segment_id", F.lit(":"), F.lit(1)).alias("track_id")).agg(F.count("*").alias("n"))
     share = F.max("n") / F.sum("n")
     return n.agg(F.count("*").alias("tracks"), F.sum("n").alias("windows"), F.round(share, 6).alias("max_share"), ((F.count("*") >= 10) & (share <= 0.2)).alias("eligible"))

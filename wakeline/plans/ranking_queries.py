@@ -59,7 +59,7 @@ def percentile_score(spark, sf_dir):
 
 @query("WN13_review_list", SCORE + ", z AS (SELECT *, round(score, 9) AS rs FROM sc), k AS (SELECT segment_id, window_ordinal, rs, row_number() OVER (ORDER BY rs DESC, segment_id, window_ordinal) AS rank FROM z), e AS (SELECT *, min(CASE WHEN rank <= 20 THEN rs END) OVER () AS edge FROM k) SELECT segment_id, window_ordinal, rank, round(rs, 6) AS score, rs = edge AS cutoff_tie FROM e WHERE rank <= 50")
 def review_list(spark, sf_dir):
-    ranked = R.rank(scores(spark, sf_dir).withColumn("score", F.round("score", 9)), "score", ["segment_id", "window_ordinal"], 20)
+    ranked = R.rank(scores(spark, sf_dir).withColumn("score", F.round("score", 9)), "score", ["segment_id", "window_ordinal"], 20, keep=50)
     return ranked.where("rank <= 50").select("segment_id", "window_ordinal", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "cutoff_tie")
 
 
