@@ -93,3 +93,68 @@ def test_jacobi_davidson_without_spanning_all():
     assert np.abs(m @ vectors - vectors * got).max() < 1e-12
     assert np.abs(vectors.T @ vectors - np.eye(12)).max() < 1e-12
     assert max(passes) <= 24
+
+
+# --- hard negatives
+
+
+def plain_negatives(rows, every, scale=256):
+    kept = {}
+    for i, v, label in rows:
+        if i is not None and label is not None and v is not None and len(v) == 8 and all(c is not None and math.isfinite(c) for c in v):
+            kept.setdefault(i, (label, [math.floor(scale * np.float32(c).astype(float)) for c in v]))
+    out = set()
+    for a, (own, x) in kept.items():
+        if a % every:
+            continue
+        scored = sorted((-sum(p * q for p, q in zip(x, y, strict=True)), i, label) for i, (label, y) in kept.items() if i != a)
+        for score, pos, _ in [s for s in scored if s[2] == own][:5]:
+            near = [s for s in scored if s[2] != own and 50 * -score <= 100 * -s[0] <= 95 * -score][:3]
+            out |= {(a, pos, k + 1, n, -score, -s) for k, (s, n, _) in enumerate(near)}
+    return out
+
+
+@pytest.mark.parametrize("scale,copies", [(256, 0), (256, 150), (2, 40), (2**24, 0)])
+def test_hard_negatives(spark, monkeypatch, scale, copies):
+    from wakeline.llm import hard_negatives
+
+    monkeypatch.setattr(hard_negatives, "BLOCK", 16)
+    monkeypatch.setattr(hard_negatives, "CHUNK_BYTES", 8 * 8 * 16 * 2)  # two trees a chunk
+    rows = made(400, copies=copies, seed=copies) + ODD
+    rows.append(rows[10])
+    got = hard_negatives.mine(table(spark, rows, extra=True), every=5, scale=scale)
+    assert {tuple(r) for r in got.collect()} == plain_negatives(rows, 5, scale)
+    assert got.count() == len(set(got.collect()))
+
+
+def test_hard_negatives_small(spark):
+    from wakeline.llm.hard_negatives import mine
+
+    assert mine(table(spark, [])).count() == 0
+    assert mine(table(spark, ODD[:5])).count() == 0
+    assert mine(table(spark, [(50, [1.0, 0.0], 1), (51, [1.0, 0.0], 1)])).count() == 0
+    # the negative's score is exactly 95 % of the positive's, then just above
+    edge = [(0, [100 / 256, 0.0], 1), (1, [100 / 256, 0.0], 1), (2, [95 / 256, 0.0], 2), (3, [96 / 256, 0.0], 2), (4, [50 / 256, 0.0], 2), (5, [49 / 256, 0.0], 2)]
+    assert [tuple(r) for r in mine(table(spark, edge)).orderBy("rank").collect()] == [(0, 1, 1, 2, 10000, 9500), (0, 1, 2, 4, 10000, 5000)]
+
+
+def test_tree_bounds_save_scores():
+    """On tight clusters most rows are never scored, and what is found is what scoring all finds."""
+    import pyarrow as pa
+
+    from wakeline.llm.hard_negatives import Anchors, spanning_tree
+    from wakeline.llm.vectors import lists
+
+    r = np.random.default_rng(1)
+    centres = r.integers(-200, 200, (12, 16)).astype(float)
+    x = centres[r.integers(0, 12, 3000)] + r.integers(-3, 4, (3000, 16))
+    a = x[:200]
+    order, parent, edge = spanning_tree(a)
+    assert sorted(order) == list(range(200)) and (parent[1:] < np.arange(1, 200)).all()
+    assert np.allclose(edge[1:], np.linalg.norm(a[order[1:]] - a[order[parent[1:]]], axis=1))
+    t = pa.table({"vec_id": order, "label": np.zeros(200, int), "x": lists(a[order]), "block": np.zeros(200, int), "place": np.arange(200), "parent": parent, "edge": edge})
+    anchors, found = Anchors(t, 16, True), set()
+    least = 0.8 * np.linalg.norm(a, axis=1).max() ** 2
+    anchors.walk(x, np.linalg.norm(x, axis=1), lambda k: np.ones(3000, bool), lambda k: (least, np.inf), lambda k, at, s: found.update((int(anchors.id[k]), int(j)) for j, v in zip(at, s, strict=True) if v >= least))
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(a @ x.T >= least), strict=True)}
+    assert found == want and anchors.rescored < 0.3 * 200 * 3000

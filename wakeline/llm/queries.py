@@ -95,6 +95,14 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding; every seventh row has the next label."""
+    from wakeline.llm.hard_negatives import mine
+
+    rows = _table(spark, sf_dir, "embeddings")
+    return mine(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after another."""
     import corpus_pipeline
@@ -104,5 +112,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_source_mix, op3_decontamination, op4_suffix_dedup, op5_toxicity, op6_token_store, op7_quality_rules, op8_ngram_jaccard_join, op9_main_text, op10_language_id, op12_embedding_whitening, pipeline)
+    for f in (op1_license_scan, op2_source_mix, op3_decontamination, op4_suffix_dedup, op5_toxicity, op6_token_store, op7_quality_rules, op8_ngram_jaccard_join, op9_main_text, op10_language_id, op12_embedding_whitening, op13_hard_negatives, pipeline)
 }
