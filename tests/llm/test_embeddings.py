@@ -158,3 +158,87 @@ def test_tree_bounds_save_scores():
     anchors.walk(x, np.linalg.norm(x, axis=1), lambda k: np.ones(3000, bool), lambda k: (least, np.inf), lambda k, at, s: found.update((int(anchors.id[k]), int(j)) for j, v in zip(at, s, strict=True) if v >= least))
     want = {(int(i), int(j)) for i, j in zip(*np.nonzero(a @ x.T >= least), strict=True)}
     assert found == want and anchors.rescored < 0.3 * 200 * 3000
+
+
+# --- nearest neighbours
+
+
+def plain_nearest(rows, every, k, d=8):
+    kept = {}
+    for i, v, _ in rows:
+        if i is not None and v is not None and len(v) == d and all(c is not None and math.isfinite(c) for c in v) and any(v):
+            kept.setdefault(i, np.array(v, np.float32).astype(float))
+    ids = np.array(sorted(kept))
+    x = np.array([kept[i] for i in ids])
+    out = {}
+    for q in ids[ids % every == 0]:
+        s = (x * kept[q]).sum(axis=1)
+        out[int(q)] = [(int(ids[j]), float(s[j])) for j in np.lexsort((ids, -s)) if ids[j] != q][:k]
+    return out
+
+
+def by_query(df):
+    out = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r.rank == len(out[r.query_id])
+    return out
+
+
+@pytest.mark.parametrize("copies", [0, 700])
+def test_nearest(spark, monkeypatch, copies):
+    """A forest of many leaves; small pieces and blocks; a leaf of copies."""
+    from wakeline.llm import projection_forest as forest
+
+    for name, value in (("PIECE", 64), ("QUERY_BLOCK", 16), ("SLICE", 32), ("KEPT", 50)):
+        monkeypatch.setattr(forest, name, value)
+    rows = made(2000, copies=copies, seed=7) + ODD
+    rows.append(rows[20])
+    want = plain_nearest(rows, 20, 20)
+    got = by_query(forest.nearest(table(spark, rows, extra=True), leaf_rows=50, sample=1500, sample_queries=40))
+    assert set(got) == set(want)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+    vectors = {i: np.array(v, np.float32).astype(float) for i, v, _ in rows[:2000]}
+    for q, found in got.items():
+        assert len(found) == 20 and found == sorted(found, key=lambda r: (-r[1], r[0])) and len({i for i, _ in found} | {q}) == 21
+        assert all(s == pytest.approx(float((vectors[i] * vectors[q]).sum()), rel=1e-12) for i, s in found if i in vectors)
+
+
+def test_nearest_exact_where_all_is_searched(spark):
+    from wakeline.llm.projection_forest import nearest
+
+    rows = made(300, copies=60, seed=2)
+    got, want = by_query(nearest(table(spark, rows))), plain_nearest(rows, 20, 20)
+    assert {q: [i for i, _ in r] for q, r in got.items()} == {q: [i for i, _ in r] for q, r in want.items()}
+    few = by_query(nearest(table(spark, rows[:7])))
+    assert {q: len(r) for q, r in few.items()} == {0: 6}
+    assert nearest(table(spark, [])).count() == 0 and nearest(table(spark, ODD[:6])).count() == 0
+    assert nearest(table(spark, rows[:1])).count() == 0
+
+
+def test_nearest_recall(spark):
+    """The registered query on the given table."""
+    sf_dir = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    want = plain_nearest(rows, 20, 20, 64)
+    got = by_query(entry.queries()["op11_nearest_neighbours"](spark, sf_dir))
+    assert set(got) == set(want)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_forest_queue_opens_best_leaf_first():
+    from wakeline.llm.projection_forest import grow
+
+    r = np.random.default_rng(5)
+    x = r.standard_normal((600, 6))
+    forest = grow(x, 3, 20)
+    leaves = forest.route(x)
+    assert leaves.shape == (600, 3) and len(np.unique(leaves)) == forest.leaves
+    sizes = np.bincount(leaves.ravel(), minlength=forest.leaves)
+    order = list(forest.visit(forest.margins(x[:1])[0], sizes, np.inf))
+    assert set(order[k][0] for k in range(3)) == set(leaves[0]) and len(order) == forest.leaves
+    assert [t for _, t in order] == [0, *np.cumsum(sizes[[c for c, _ in order]])[:-1]]
+    assert len(list(forest.visit(forest.margins(x[:1])[0], sizes, 25))) < 5
+    same = grow(np.ones((50, 6)), 3, 20)
+    assert same.leaves == 1 and same.route(x).shape == (600, 1)

@@ -88,6 +88,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth embedding."""
+    from wakeline.llm.projection_forest import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding on the 16 leading components of the covariance, with unit variance."""
     from wakeline.llm.whitening import whiten
@@ -112,5 +119,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_source_mix, op3_decontamination, op4_suffix_dedup, op5_toxicity, op6_token_store, op7_quality_rules, op8_ngram_jaccard_join, op9_main_text, op10_language_id, op12_embedding_whitening, op13_hard_negatives, pipeline)
+    for f in (op1_license_scan, op2_source_mix, op3_decontamination, op4_suffix_dedup, op5_toxicity, op6_token_store, op7_quality_rules, op8_ngram_jaccard_join, op9_main_text, op10_language_id, op11_nearest_neighbours, op12_embedding_whitening, op13_hard_negatives, pipeline)
 }
