@@ -110,8 +110,8 @@ def _vote(good: Column, bad: Column) -> Column:
 def votes() -> dict[str, Column]:
     """Each rule's vote on a row of COUNTS: 1 good, -1 bad, 0 abstains.
 
-    The model takes rules as independent given the class, so one fact is one rule: symbols are held against words and against
-    characters in a single vote.  Digits speak neither for nor against a text.
+    Symbols are held against words and against characters in two votes: junk strewn over real words shows in both, and each alone could
+    not outweigh the rules that such words satisfy.  Digits speak neither for nor against a text.
     """
     w, lines, chars = F.col("n_words"), F.col("n_lines"), F.col("word_chars")
     some = w > 0
@@ -121,10 +121,8 @@ def votes() -> dict[str, Column]:
     return {
         "length": _vote(w >= 100, w < 50),
         "word_length": _vote(some & chars.between(3 * w, 9 * w), some & ~chars.between(F.lit(2.5) * w, 12 * w)),
-        "symbols": _vote(
-            some & (50 * F.col("n_symbols") <= w) & (200 * F.col("n_symbols") <= chars),
-            some & ((10 * F.col("n_symbols") > w) | (25 * F.col("n_symbols") > chars)),
-        ),
+        "symbols_by_word": _vote(some & (50 * F.col("n_symbols") <= w), some & (10 * F.col("n_symbols") > w)),
+        "symbols_by_character": _vote(some & (200 * F.col("n_symbols") <= chars), some & (25 * F.col("n_symbols") > chars)),
         "letters": _vote(counted & (100 * letters >= 90 * (chars - digits)), counted & (100 * letters < 80 * (chars - digits))),
         "same_lines": _vote((lines >= 3) & (20 * F.col("n_dup_lines") <= lines), (lines >= 2) & (10 * F.col("n_dup_lines") > 3 * lines)),
         "same_words": _vote((w >= 30) & (20 * F.col("n_repeat_words") <= w), some & (5 * F.col("n_repeat_words") > w)),
