@@ -37,7 +37,8 @@ from wakeline.llm import textops as T
 from wakeline.llm.scratch import Scratch
 
 GRAM = 32
-_PLACE = np.uint64((1 << 28) - 1)
+#: Bits of a place: no string of Spark's is longer.
+_PLACE = np.uint64((1 << 31) - 1)
 _C = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -98,8 +99,12 @@ def suffix_classes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return rank[at]
 
 
-#: A phrase's place in a document: its first start, above the number of its further starts.
-WIDTH = 8
+def _width(length: int) -> int:
+    """A phrase's place in a document is its first start, above the number of its further starts in so many bits.
+
+    All strings of a phrase hold its trigger, so it has at most length - GRAM further starts.
+    """
+    return (length - GRAM).bit_length()
 
 
 def _triggers(length: int):
@@ -117,12 +122,14 @@ def _triggers(length: int):
 def _spans(length: int):
     """(t, p, doc, at): trigger, phrase, document, and place with width."""
 
+    bits = _width(length)
+
     def run(batches):
         for b in batches:
             for c in T.chunks(b.column(1)):
                 row, t, p, lo, width, _ = parse(c, length)
                 doc = b.column(0).take(pa.array(row + c.lo))
-                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(p.view(np.int64)), doc, pa.array((lo << WIDTH) | width)], ["t", "p", "doc", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(p.view(np.int64)), doc, pa.array((lo << bits) | width)], ["t", "p", "doc", "at"])
 
     return run
 
@@ -139,6 +146,8 @@ def _edge_suffixes(length: int):
     repeat for certain and are marked known, with a hash of their place for f.
     """
 
+    bits = _width(length)
+
     def run(batches):
         for b in batches:
             column, spans = b.column(1), b.column(2)
@@ -149,7 +158,7 @@ def _edge_suffixes(length: int):
                 words = ats[at_list[c.lo] : at_list[c.hi]]
                 if not len(words):
                     continue
-                lo, w = words >> WIDTH, words & ((1 << WIDTH) - 1)
+                lo, w = words >> bits, words & ((1 << bits) - 1)
                 h = T.prefix_hash(c.data)
                 row = np.repeat(np.repeat(np.arange(c.hi - c.lo), np.diff(at_list[c.lo : c.hi + 1])), w + 1)
                 s = T.within(lo, np.arange(len(lo)), w + 1)
@@ -252,8 +261,9 @@ def _repeats(texts: DataFrame, length: int, broadcast_bytes: int, scratch: Scrat
     placed = phrases.join(words, ["t", "p"]).select("doc", "at", "edge", (place == F.col("first")).alias("is_first"))
     placed = scratch.save(placed.where("edge or not is_first"), "placed")
     scratch.drop("phrases", "words")
-    start = F.shiftright("at", WIDTH).cast("int")
-    later = placed.where("not is_first").select("doc", start.alias("lo"), (start + F.col("at").bitwiseAND(F.lit((1 << WIDTH) - 1))).cast("int").alias("hi"))
+    bits = _width(length)
+    start = F.shiftright("at", bits).cast("int")
+    later = placed.where("not is_first").select("doc", start.alias("lo"), (start + F.col("at").bitwiseAND(F.lit((1 << bits) - 1))).cast("int").alias("hi"))
     edges = placed.where("is_first").groupBy("doc").agg(F.collect_list("at").alias("spans"))
     edges = scratch.save(edges, "edges")
 
