@@ -36,6 +36,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!
 ATTR = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Fixed values of HTML: raw text, void and block elements, and which open elements a start tag ends.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
+#: Their ends, in letters of either case; letters beyond ASCII are never one of theirs.
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set(
     "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption select button".split()
@@ -82,7 +84,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     here, stack = root, []  # stack: open elements, inline ones too, as (tag, node to return to)
     blocks: list[tuple[Node, str]] = []
     run: list[str] = []
-    at, low = 0, None
+    at = 0
 
     def flush() -> None:
         text = "".join(run)
@@ -128,10 +130,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 flush()
             continue
         if tag in RAW:
-            if low is None:
-                low = page.lower()
-            end = low.find(f"</{tag}", at)
-            stop = page.find(">", end) if end >= 0 else -1
+            end = RAW_END[tag].search(page, at)
+            stop = page.find(">", end.start()) if end else -1
             at = stop + 1 if stop >= 0 else len(page)
             continue
         if tag not in BLOCK and tag not in OUT_TAGS:
