@@ -12,7 +12,7 @@ Items with one to four words count as one shingle of just that many words; items
 
 Defined cases: null and empty texts match nothing; repeated items are reported each (rows with the
 same item_id and text are one item, with another text another); repeated documents too (rows with the
-same doc_id count as one document); an empty table on either side gives no rows; other columns are ignored.
+same doc_id count as one document; of rows without a doc_id those of one text do, and are reported with a null doc_id); an empty table on either side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,19 +87,21 @@ def contaminated(
 
     # search: documents with any minimum of any item
     sketch = own.where("in_sketch").select(F.col("a").alias("_a")).distinct()
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), word_codes(F.col(text)).alias("codes"))
+    own_text = F.when(F.col(doc_id).isNull(), F.md5(F.col(text))).otherwise("")  # tells rows without an id apart
+    docs = docs.select(F.col(doc_id).alias("doc_id"), own_text.alias("_own"), F.col(text).alias("text")).where(F.col("_own").isNotNull())
+    tokens = docs.select("doc_id", "_own", word_codes(F.col("text")).alias("codes"))
     firsts = F.concat(*[shingles_of(F.col("codes"), k, 1) for k in lengths])
-    hits = tokens.select("doc_id", F.explode(firsts).alias("a")).join(side(sketch), F.col("a") == F.col("_a"), "left_semi").select("doc_id").distinct()
+    hits = tokens.select("doc_id", "_own", F.explode(firsts).alias("a")).join(side(sketch), F.col("a") == F.col("_a"), "left_semi").select("doc_id", "_own").distinct()
 
     # verification: exact containment in those documents alone
     from wakeline.llm.scratch import Scratch
 
-    hits = Scratch(docs.sparkSession, "decontaminate").save(hits.where(F.col("doc_id").isNotNull()), "hits")
-    again = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(side(hits), "doc_id", "left_semi")
-    again = again.select("doc_id", word_codes(F.col("text")).alias("codes"))
+    hits = side(Scratch(docs.sparkSession, "decontaminate").save(hits, "hits"))
+    again = docs.join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]) & (docs["_own"] == hits["_own"]), "left_semi")
+    again = again.select("doc_id", "_own", word_codes(F.col("text")).alias("codes"))
     both = F.flatten(F.array(*[pair(F.col("codes"), k) for k in lengths]))
-    found = again.select("doc_id", F.inline(both).alias("a", "b")).join(side(own.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "item_id", "_t", "n_item")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
-    counted = found.select("doc_id", "item_id", "_t", "n_item", "a", "b").distinct().groupBy("doc_id", "item_id", "_t").agg(F.count("*").alias("n_shared"), F.first("n_item").alias("n_item"))
+    found = again.select("doc_id", "_own", F.inline(both).alias("a", "b")).join(side(own.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "item_id", "_t", "n_item")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
+    counted = found.select("doc_id", "_own", "item_id", "_t", "n_item", "a", "b").distinct().groupBy("doc_id", "_own", "item_id", "_t").agg(F.count("*").alias("n_shared"), F.first("n_item").alias("n_item"))
     return counted.where(F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - 1e-9)).select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
