@@ -12,8 +12,8 @@ text.  Words are runs of letters in lower case.
 Documents that are toxic by label but hold none of the toxic words aren't learned from: nothing in the text tells their grade.
 
 Defined cases: a null text or one without letters has no features and severity of an empty text, far below the threshold; labels
-that are null, or whose documents are missing, aren't learned from; a document with contradicting labels counts as toxic; without toxic
-labels nothing is toxic; repeated rows are scored alike; an empty table gives an empty result; other columns are ignored.
+that are null, or whose documents are missing, aren't learned from; a document with contradicting labels counts as toxic; of several rows
+with one labelled doc_id the text of smallest md5 is learned from; without toxic labels nothing is toxic; repeated rows are scored alike; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,8 +90,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, grades: int =
     texts = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text"))
     picked = picked.select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic"))
     rows = texts.join(F.broadcast(picked), F.col("key") == F.col("labelled"))  # at most 2 * sample labels
-    got = rows.select("toxic", "text").mapInArrow(_features, "toxic int, n long, h binary, c binary").collect()
-    got = [r for r in got if r.n]
+    # one row a label before features are made: what is collected is bounded by the sample, however often its ids repeat
+    one = rows.groupBy("labelled").agg(F.first("toxic").alias("toxic"), F.min(F.struct(F.md5("text").alias("sum"), "text")).alias("row"))
+    got = one.select("toxic", F.col("row.text").alias("text")).mapInArrow(_features, "toxic int, n long, h binary, c binary").collect()
+    got = sorted(r for r in got if r.n)
     nothing = Model(np.zeros(0, np.uint64), np.zeros(0), np.array([5.0 + k for k in range(grades)]))
     toxic = np.array([r.toxic for r in got], bool)
     if not toxic.any() or toxic.all():
