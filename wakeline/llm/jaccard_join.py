@@ -27,8 +27,8 @@ those of all links.
 All verification is exact, on whole sets (64-bit shingle hashes).  Fingerprints of sets are 128 bits.
 
 Defined cases: a null or blank text has an empty set and links with nothing, not even with its like; a text with fewer than n
-words has its whole sequence as its only shingle; repeated rows are copies and link; rows with a null doc_id are dropped as they
-can't be named; of rows that repeat a doc_id any one's links count for it; an empty table gives an empty result; other columns are ignored.
+words has its whole sequence as its only shingle; repeated rows are copies and link; rows with a null doc_id
+link like others and have a row each, whose class_id and component_id are null where no row with an id is reached; of rows that repeat a doc_id any one's links count for it; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -285,8 +285,12 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: s
     pivots: rounds at most; dense: pairs a row at which another round is worth its cost.  Neither changes the result.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scratch = Scratch(spark, "jaccard")
+    # rows without an id get one above all others, in a table that is written once, and lose it at the end
+    top, nulls = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0).cast("long")), F.count_if(F.col("doc_id").isNull())).first()
+    if nulls:
+        docs = scratch.save(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(top) + 1 + F.monotonically_increasing_id())), "named")
     described = scratch.save(_described(docs, n, percent, _frequency_sketch(docs, n)), "described")
 
     # documents with equal sets are one node, named by the smallest doc_id
@@ -371,7 +375,10 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: s
     named = named.join(known, named["class_id"] == known["node"], "left").select("k1", "k2", "m", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = described.select("doc_id", "n", "k1", "k2")
     out = out.join(named.withColumnRenamed("k1", "q1").withColumnRenamed("k2", "q2"), (F.col("k1") == F.col("q1")) & (F.col("k2") == F.col("q2")) & (F.col("n") == F.col("m")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = [F.col("doc_id"), F.coalesce("class_id", "doc_id"), F.coalesce("component_id", "doc_id")]
+    if nulls:
+        ids = [F.when(x <= top, x) for x in ids]
+    return out.select(ids[0].alias("doc_id"), F.col("n").alias("n_shingles"), ids[1].alias("class_id"), ids[2].alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, broadcast_ids: int = 1_000_000, **options) -> DataFrame:
@@ -394,16 +401,19 @@ def one_of_each(docs: DataFrame, *, broadcast_ids: int = 1_000_000, **options) -
     key = F.monotonically_increasing_id()
     key = F.lit(low or 0) - 1 - key if (low or 0) > -(1 << 62) else F.lit(high) + 1 + key
     odd = docs.where("doc_id is null").unionAll(docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi"))
-    odd = scratch.save(odd.withColumn("_key", key), "odd")
+    own = "_key"  # a name that no column of docs has
+    while own in docs.columns:
+        own += "_"
+    odd = scratch.save(odd.withColumn(own, key), "odd")
     single = docs.where("doc_id is not null").join(ids, docs["doc_id"] == ids["_id"], "left_anti")
-    found = near_duplicates(single.select("doc_id", "text").unionAll(odd.select(F.col("_key"), "text")), **options).where("n_shingles > 0")
+    found = near_duplicates(single.select("doc_id", "text").unionAll(odd.select(F.col(own), "text")), **options).where("n_shingles > 0")
     found = scratch.save(found.select(F.col("doc_id").alias("_id"), "component_id"), "found")
     # groups with such a row are put in order anew; the others' component_id is their smallest doc_id
-    names = odd.select("_key", F.col("doc_id").alias("_own"), F.xxhash64(*docs.columns).alias("_hash"))
+    names = odd.select(F.col(own).alias("_key"), F.col("doc_id").alias("_own"), F.xxhash64(*docs.columns).alias("_hash"))
     named = found.join(names, found["_id"] == names["_key"], "left").withColumn("_own", F.when(F.col("_key").isNull(), F.col("_id")).otherwise(F.col("_own")))
     order = F.struct(F.col("_own").isNull().alias("none"), "_own", F.coalesce("_hash", F.lit(0)).alias("hash"), "_id")
     first = named.groupBy("component_id").agg(F.min(order).alias("_first"), F.count("_key").alias("_odd")).where("_odd > 0")
     first = first.select(F.col("component_id").alias("_component"), F.col("_first._id").alias("_kept"))
     gone = found.join(first, found["component_id"] == first["_component"], "left").where(F.col("_id") != F.coalesce("_kept", "component_id"))
     gone = scratch.save(gone.select("_id"), "gone")
-    return single.join(gone, single["doc_id"] == gone["_id"], "left_anti").unionAll(odd.join(gone, odd["_key"] == gone["_id"], "left_anti").select(*docs.columns))
+    return single.join(gone, single["doc_id"] == gone["_id"], "left_anti").unionAll(odd.join(gone, odd[own] == gone["_id"], "left_anti").select(*docs.columns))
