@@ -374,7 +374,7 @@ def percentiles(spark, sf_dir):
     "SC14_clipped_scale",
     """WITH v AS (SELECT track_id, event_id, sog FROM fixes WHERE sog IS NOT NULL), p AS (SELECT track_id, quantile_cont(sog, 0.01) AS lo, quantile_cont(sog, 0.99) AS hi, median(sog) AS med,
     (quantile_cont(sog, 0.75) - quantile_cont(sog, 0.25)) / 1.349 AS s FROM v GROUP BY track_id)
-    SELECT event_id, round(CASE WHEN s > 0 THEN (greatest(lo, least(hi, sog)) - med) / s ELSE 0 END, 6) AS scaled FROM v JOIN p USING (track_id)""",
+    SELECT event_id, round(CASE WHEN s > 0 THEN (greatest(lo, least(hi, sog)) - med) / s ELSE 0 END, 4) AS scaled FROM v JOIN p USING (track_id)""",
 )
 def clipped_scale(spark, sf_dir):
     """Each report's speed against its vessel's own profile: clipped to the profile's range, then scaled by its quartiles."""
@@ -382,7 +382,7 @@ def clipped_scale(spark, sf_dir):
     q = lambda p: F.percentile("sog", p)
     profile = v.groupBy("track_id").agg(q(0.01).alias("lo"), q(0.99).alias("hi"), q(0.5).alias("med"), ((q(0.75) - q(0.25)) / 1.349).alias("s"))
     scaled = F.when(F.col("s") > 0, (F.greatest("lo", F.least("hi", "sog")) - F.col("med")) / F.col("s")).otherwise(0.0)
-    return v.join(profile, "track_id").select("event_id", F.round(scaled, 6).alias("scaled"))
+    return v.join(profile, "track_id").select("event_id", F.round(scaled, 4).alias("scaled"))
 
 
 @query(

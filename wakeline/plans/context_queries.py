@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 from wakeline.functions import geo
 from wakeline.operators import context as C
 from wakeline.operators import joins as J
+from wakeline.operators import nearest as N
 from wakeline.operators import tracks as T
 from wakeline.plans.registry import haversine, query
 from wakeline.sources.fixes import fixes, table, zones
@@ -54,11 +55,10 @@ def polygon_containment(spark, sf_dir):
 
 @query("J3_nearest_port", "WITH d AS (SELECT f.event_id, z.zone_id, greatest(0, " + haversine("f.latitude", "f.longitude", "z.lat_c", "z.lon_c") + " / 1852 - 9) AS nm FROM fixes f JOIN zones z ON z.kind = 'port'), r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY nm, zone_id) AS r FROM d) SELECT event_id, zone_id, round(nm, 5) AS nm FROM r WHERE r = 1")
 def nearest_port(spark, sf_dir):
-    """The nearest port and the distance to its edge; zones are a dimension, fewer than the broadcast bound by their kind's filter."""
-    ports = zones(spark, sf_dir).where("kind = 'port'").select("zone_id", "lat_c", "lon_c").agg(F.collect_list(F.struct("zone_id", "lat_c", "lon_c")).alias("ports"))
-    nm = lambda p: F.struct(F.greatest(F.lit(0.0), geo.haversine_nm(F.col("latitude"), F.col("longitude"), p["lat_c"], p["lon_c"]) - 9).alias("nm"), p["zone_id"].alias("zone_id"))
-    out = fixes(spark, sf_dir).crossJoin(F.broadcast(ports)).withColumn("best", F.array_min(F.transform("ports", nm)))
-    return out.select("event_id", F.col("best.zone_id").alias("zone_id"), F.round("best.nm", 5).alias("nm"))
+    """The nearest port and the distance to its edge, by rings of cells."""
+    ports = zones(spark, sf_dir).where("kind = 'port'").select("zone_id", F.col("lat_c").alias("site_lat"), F.col("lon_c").alias("site_lon"))
+    out = N.nearest_join(fixes(spark, sf_dir), ports, "event_id", "zone_id", parts=256)
+    return out.select("event_id", "zone_id", F.round(F.greatest(F.lit(0.0), F.col("nm") - 9), 5).alias("nm"))
 
 
 @query("J6_raster_lookup", "WITH p AS (SELECT event_id, greatest(0, least(9, round_even((latitude - 21.5e0) / 0.5e0, 0)))::INT AS i, greatest(0, least(11, round_even((longitude - 118e0) / 0.5e0, 0)))::INT AS j FROM fixes) SELECT event_id, (i * 12 + j) % 7 AS code FROM p")
