@@ -32,3 +32,24 @@ def row_numbers(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """df with each row's place, from 1, in an order without ties."""
     out = running_sum(df.withColumn("_one", F.lit(1).cast("long")), [], order, "_one", "_before")
     return out.select(*df.columns, (F.col("_before") + 1).alias(name))
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, name, ...): exact percentiles with linear interpolation of value's non-null values, for each name and share.
+
+    Values are counted first, then ranked over ranges of one sort; each rank asked for is found by a partial aggregate.  No task
+    holds a group's values, as an exact percentile aggregate does.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_m"))
+    below = running_sum(counts, keys, [F.col("_v").asc()], "_m", "_below")
+    total = below.groupBy(*keys).agg(F.sum("_m").alias("_n"))
+    placed = below.join(total, keys) if keys else below.crossJoin(F.broadcast(total))  # one row
+    found = {}
+    for name, share in shares.items():
+        at = (F.col("_n") - 1) * F.lit(float(share))
+        for end, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            found[f"_{name}_{end}"] = F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("_m")), F.col("_v")))
+        found[f"_{name}_f"] = F.max(at - F.floor(at))
+    out = placed.groupBy(*keys).agg(*[v.alias(k) for k, v in found.items()])
+    between = lambda name: F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * F.col(f"_{name}_f")
+    return out.select(*keys, *[between(name).alias(name) for name in shares])

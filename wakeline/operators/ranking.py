@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from wakeline.operators.ranges import row_numbers, running_sum
+from wakeline.operators.ranges import percentiles, row_numbers, running_sum
 
 
 def reference_profile(long: DataFrame) -> DataFrame:
     """(feature, n, p25, median, p75, mad, scale, rule) of (feature, value): scale by quartiles, else by MAD, else inactive."""
-    q = lambda p: F.percentile("value", p)
-    base = long.where("value is not null").groupBy("feature").agg(F.count("*").alias("n"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"))
-    mad = long.where("value is not null").join(base.select("feature", "median"), "feature").groupBy("feature").agg(F.percentile(F.abs(F.col("value") - F.col("median")), 0.5).alias("mad"))
-    out = base.join(mad, "feature")
+    base = percentiles(long, ["feature"], "value", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    base = long.where("value is not null").groupBy("feature").agg(F.count("*").alias("n")).join(base, "feature")
+    off = long.where("value is not null").join(base.select("feature", "median"), "feature").select("feature", F.abs(F.col("value") - F.col("median")).alias("off"))
+    out = base.join(percentiles(off, ["feature"], "off", {"mad": 0.5}), "feature")
     iqr, dev = (F.col("p75") - F.col("p25")) / 1.349, 1.4826 * F.col("mad")
     return out.withColumns({"scale": F.when(iqr > 0, iqr).when(dev > 0, dev), "rule": F.when(iqr > 0, "iqr").when(dev > 0, "mad").otherwise("inactive")})
 
@@ -48,9 +48,9 @@ def rank(scores: DataFrame, score: str, tie: list[str], budget: int, keep: int |
     order = [F.desc(score), *[F.col(c).asc() for c in tie]]
     if keep is not None:
         out = scores.orderBy(*order).limit(keep).withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long"))  # keep rows
-    else:
-        out = row_numbers(scores, order)
-    out = out.withColumn("shortlisted", F.col("rank") <= budget)
+        edge = F.min(F.when(F.col("rank") <= budget, F.col(score))).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        return out.withColumn("shortlisted", F.col("rank") <= budget).withColumn("cutoff_tie", F.col(score) == edge)
+    out = row_numbers(scores, order).withColumn("shortlisted", F.col("rank") <= budget)
     edge = out.where("shortlisted").agg(F.min(score).alias("_edge"))  # one row
     return out.crossJoin(F.broadcast(edge)).withColumn("cutoff_tie", F.col(score) == F.col("_edge")).drop("_edge")
 

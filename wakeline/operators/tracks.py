@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wakeline.functions import geo
+from wakeline.operators.ranges import percentiles
+from wakeline.scratch import Scratch
 
 
 @dataclass(frozen=True)
@@ -170,15 +172,18 @@ FEATURES = ("sog_median", "sog_p95", "low_speed_fraction", "low_speed_s", "path_
 
 def distribution_summary(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Count, missing and quantiles of each column, a row each."""
-    long = df.unpivot([], list(columns), "feature", "value")
-    q = lambda p: F.percentile("value", p)
-    return long.groupBy("feature").agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"), F.min("value").alias("lo"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), q(0.95).alias("p95"), F.max("value").alias("hi"))
+    long = Scratch(df.sparkSession, "summary").save(df.unpivot([], list(columns), "feature", "value"), "long")  # read three times
+    plain = long.groupBy("feature").agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return plain.join(percentiles(long, ["feature"], "value", {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}), "feature", "left")
 
 
 def gap_statistics(df: DataFrame, threshold_s: float) -> DataFrame:
     """One row: pairs, signs, number above a threshold, and positive gaps' minimum, median and maximum."""
     g, up = F.col("gap"), F.when(F.col("gap") > 0, F.col("gap"))
-    return with_gaps(df).agg(F.count(g).alias("pairs"), F.count(up).alias("positive"), F.count_if(g == 0).alias("zero"), F.count_if(g < 0).alias("negative"), F.count_if(g > threshold_s).alias("above"), F.min(up).alias("least"), F.percentile(up, 0.5).alias("median"), F.max(up).alias("most"))
+    gaps = with_gaps(df)
+    plain = gaps.agg(F.count(g).alias("pairs"), F.count(up).alias("positive"), F.count_if(g == 0).alias("zero"), F.count_if(g < 0).alias("negative"), F.count_if(g > threshold_s).alias("above"), F.min(up).alias("least"), F.max(up).alias("most"))
+    middle = percentiles(gaps.where("gap > 0"), [], "gap", {"median": 0.5})
+    return plain.crossJoin(F.broadcast(middle)).select("pairs", "positive", "zero", "negative", "above", "least", "median", "most")  # a row each
 
 
 def whole_tracks(df: DataFrame, ceiling: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from wakeline.functions import geo, identity
 from wakeline.operators import joins as J
+from wakeline.operators import ranges
 from wakeline.plans.registry import haversine, query
 from wakeline.sources import archives as A
 from wakeline.sources.fixes import fixes, seconds, table, zones
@@ -283,9 +284,9 @@ def strongest_deviations(spark, sf_dir):
     """The three strongest deviations of each vessel from the fleet, of these the marked ones; the cut comes first."""
     wide = fixes(spark, sf_dir).groupBy("track_id").agg(*[F.avg(c).alias(c) for c in ("sog", "cog", "heading")], F.count("*").cast("double").alias("n"))
     long = wide.unpivot(["track_id"], ["sog", "cog", "heading", "n"], "feature", "v")
-    med = long.groupBy("feature").agg(F.percentile("v", 0.5).alias("med"))  # a row per feature
+    med = ranges.percentiles(long, ["feature"], "v", {"med": 0.5})  # a row per feature
     dev = long.join(F.broadcast(med), "feature")
-    mad = dev.groupBy("feature").agg(F.percentile(F.abs(F.col("v") - F.col("med")), 0.5).alias("mad"))
+    mad = ranges.percentiles(dev.withColumn("off", F.abs(F.col("v") - F.col("med"))), ["feature"], "off", {"mad": 0.5})
     z = dev.join(F.broadcast(mad), "feature").withColumn("z", F.round((F.col("v") - F.col("med")) / F.col("mad"), 6))
     first = W.partitionBy("track_id").orderBy(F.desc(F.abs("z")), "feature")
     return z.withColumn("r", F.row_number().over(first)).where("r <= 3 and abs(z) >= 1.5").select("track_id", "feature", "z")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from wakeline.functions import geo, identity
 from wakeline.operators import tracks as T
+from wakeline.operators.ranges import percentiles
 from wakeline.plans.context_queries import listed_flag
 from wakeline.plans.detect_queries import EVENTS, RISK, events
 from wakeline.plans.detect_queries import risk as risk_query
@@ -55,7 +56,8 @@ def type_priors(spark, sf_dir):
 @query("AG28_method_choice", "WITH m AS (SELECT l_returnflag || l_linestatus AS method, round(quantile_cont(l_discount, 0.5), 6)::DOUBLE AS overlap FROM lineitem GROUP BY 1), b AS (SELECT *, max(overlap) OVER () AS best FROM m) SELECT method, overlap FROM b WHERE overlap >= best - 0.005 ORDER BY method LIMIT 1", views=False)
 def method_choice(spark, sf_dir):
     """The best median, and within a tolerance of it the first by order of preference."""
-    m = table(spark, sf_dir, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("method")).agg(F.round(F.percentile("l_discount", 0.5), 6).cast("double").alias("overlap"))
+    rows = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("method"), F.col("l_discount").cast("double").alias("v"))
+    m = percentiles(rows, ["method"], "v", {"overlap": 0.5}).withColumn("overlap", F.round("overlap", 6))
     best = m.agg(F.max("overlap").alias("best"))
     return m.crossJoin(F.broadcast(best)).where(F.col("overlap") >= F.col("best") - 0.005).orderBy("method").limit(1).select("method", "overlap")
 

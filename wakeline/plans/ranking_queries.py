@@ -8,6 +8,7 @@ from wakeline.operators import ranking as R
 from wakeline.operators import tracks as T
 from wakeline.plans.registry import query
 from wakeline.plans.track_queries import _LONG, WIN, window_features
+from wakeline.scratch import Scratch
 from wakeline.sources.fixes import table
 
 #: Features in groups: at most one reason a group.
@@ -20,7 +21,9 @@ SCORE = MID + ", gs AS (SELECT segment_id, window_ordinal, grp, max(value) AS g
 
 
 def long_features(spark, sf_dir):
-    return window_features(spark, sf_dir).select("segment_id", "window_ordinal", *T.FEATURES).unpivot(["segment_id", "window_ordinal"], list(T.FEATURES), "feature", "value").withColumn("value", F.round("value", 5))
+    """A row for each window and feature, written once: profiles and ranks read it several times."""
+    long = window_features(spark, sf_dir).select("segment_id", "window_ordinal", *T.FEATURES).unpivot(["segment_id", "window_ordinal"], list(T.FEATURES), "feature", "value").withColumn("value", F.round("value", 5))
+    return Scratch(spark, "features").save(long, "long")
 
 
 def components(spark, sf_dir):
