@@ -34,13 +34,15 @@ def row_numbers(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     return out.select(*df.columns, (F.col("_before") + 1).alias(name))
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], weight: str | None = None) -> DataFrame:
     """(keys, name, ...): exact percentiles with linear interpolation of value's non-null values, for each name and share.
 
+    weight: a column of whole numbers; a row counts as so many.
+
     Values are counted first, then ranked over ranges of one sort; each rank asked for is found by a partial aggregate.  No task
     holds a group's values, as an exact percentile aggregate does.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_m"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg((F.sum(weight) if weight else F.count("*")).alias("_m"))
     below = running_sum(counts, keys, [F.col("_v").asc()], "_m", "_below")
     total = below.groupBy(*keys).agg(F.sum("_m").alias("_n"))
     placed = below.join(total, keys) if keys else below.crossJoin(F.broadcast(total))  # one row
