@@ -7,6 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: WGS84.
 A, FLAT = 6_378_137.0, 1 / 298.257223563
@@ -56,17 +57,19 @@ def geodesic(df: DataFrame, key: str, cols: tuple[str, str, str, str]) -> DataFr
     return df.select(F.col(key).cast("long").alias(key), *[F.col(c).cast("double").alias(c) for c in cols]).mapInArrow(run, f"{key} long, metres double")
 
 
-def stay_points(df: DataFrame, radius_nm: float, min_s: float, break_s: float) -> DataFrame:
+def stay_points(df: DataFrame, radius_nm: float, min_s: float, break_s: float, least: int = 2, max_kn: float | None = None) -> DataFrame:
     """(track_id, t0, t1, n, latitude, longitude): stays found by a greedy scan of each track.
 
     From each start the longest run of reports is taken that stays in a box of twice the radius and has no gap above break_s; if it
-    lasts min_s it is a stay and the scan goes on behind it, else from the next report.
+    lasts min_s, has `least` reports and (with max_kn, for which df has sog) no higher median speed, it is a stay and the scan goes on behind
+    it, else from the next report.  No stay spans a gap above break_s, so tracks are cut there: a long one is many groups.
     """
     side = 2 * radius_nm / 60
 
     def scan(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["t", "event_id"])
         t, la, lo = (g[c].to_numpy() for c in ("t", "latitude", "longitude"))
+        kn = g["sog"].to_numpy(dtype=float) if max_kn is not None else None
         out, i, n = [], 0, len(t)
         while i < n - 1:
             j, la0, la1, lo0, lo1 = i, la[i], la[i], lo[i], lo[i]
@@ -76,12 +79,19 @@ def stay_points(df: DataFrame, radius_nm: float, min_s: float, break_s: float) -
                 if a1 - a0 > side or (b1 - b0) * k > side:
                     break
                 j, la0, la1, lo0, lo1 = j + 1, a0, a1, b0, b1
-            if j > i and t[j] - t[i] >= min_s:
+            lasts = j + 1 - i >= least and t[j] - t[i] >= min_s
+            if lasts and max_kn is not None:
+                told = kn[i : j + 1][np.isfinite(kn[i : j + 1])]
+                lasts = not len(told) or np.median(told) <= max_kn
+            if lasts:
                 out.append((g["track_id"].iloc[0], t[i], t[j], j - i + 1, la[i : j + 1].mean(), lo[i : j + 1].mean()))
                 i = j + 1
             else:
                 i += 1
         return pd.DataFrame(out, columns=["track_id", "t0", "t1", "n", "latitude", "longitude"])
 
-    need = df.select("track_id", "event_id", "t", "latitude", "longitude").where("latitude is not null and longitude is not null")
-    return need.groupBy("track_id").applyInPandas(scan, "track_id string, t0 double, t1 double, n long, latitude double, longitude double")
+    need = df.select("track_id", "event_id", "t", "latitude", "longitude", *(["sog"] if max_kn is not None else [])).where("latitude is not null and longitude is not null")
+    w = W.partitionBy("track_id").orderBy("t", "event_id")
+    apart = F.coalesce(F.col("t") - F.lag("t").over(w) > break_s, F.lit(False)).cast("int")
+    need = need.withColumn("_apart", apart).withColumn("_part", F.sum("_apart").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_apart")
+    return need.groupBy("track_id", "_part").applyInPandas(scan, "track_id string, t0 double, t1 double, n long, latitude double, longitude double")

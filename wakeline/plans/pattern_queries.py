@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from wakeline.functions import identity
+from wakeline.operators import clusters as K
 from wakeline.operators import detect as D
 from wakeline.operators import joins as J
 from wakeline.operators import nearest as N
@@ -55,3 +57,26 @@ def survey_patterns(spark, sf_dir):
     out = events.join(near, "event", "left").drop("event")
     out = out.withColumn("zone_nm", F.greatest(F.lit(0.0), F.col("nm") - 9))
     return out.withColumn("severity", D.clip(F.col("severity") + F.when(F.col("zone_nm") <= 40, 12).otherwise(0))).drop("nm", "vessel_type")
+
+
+#: Of reports hours apart, most vessels have one a day.
+GROUPS = K.ClusterConfig(step_s=86_400.0, distance_nm=12.0, min_vessels=3, min_s=172_800.0, max_kn=15.0)
+
+
+def positions(spark, sf_dir):
+    """The latest report of each vessel and day."""
+    df = fixes(spark, sf_dir).withColumn("step", F.floor(F.col("t") / GROUPS.step_s))
+    first = F.row_number().over(W.partitionBy("track_id", "step").orderBy(F.desc("t"), F.desc("event_id")))
+    return df.withColumn("_r", first).where("_r = 1").select("step", "track_id", "latitude", "longitude", "sog")
+
+
+@query("GR2_followed_groups")
+def followed_groups(spark, sf_dir):
+    """Components of near vessels followed over steps as groups."""
+    return K.followed(K.step_groups(positions(spark, sf_dir), GROUPS), GROUPS).select("k0", "k1", "steps", "most", F.concat_ws(",", "core").alias("core"))
+
+
+@query("D4_clusters")
+def clusters(spark, sf_dir):
+    """Groups that last, with what their vessels did."""
+    return K.clusters(positions(spark, sf_dir), GROUPS).drop("event").withColumn("tracks", F.concat_ws(",", "tracks"))
