@@ -140,10 +140,10 @@ def _fingerprint(c: T.Chunk, h: np.ndarray, at: np.ndarray, length: int) -> tupl
 
 
 def _edge_suffixes(length: int):
-    """The suffixes of dictionary words, as (f, f2, doc, lo, known).
+    """The suffixes of dictionary words, as (f, f2, doc, lo, hi, known).
 
-    Of equal suffixes in one chunk of texts the first in corpus order is a row with the fingerprint of its class; the others start a
-    repeat for certain and are marked known, with a hash of their place for f.
+    Of equal suffixes in one chunk of texts the first in corpus order is a row with the fingerprint of its class, at lo = hi; the others
+    start a repeat for certain and are marked known, a row for each run lo .. hi of them, with a hash of its place for f.
     """
 
     bits = _width(length)
@@ -180,9 +180,19 @@ def _edge_suffixes(length: int):
                 same = np.zeros(len(order), bool)
                 same[1:] = ~first[1:] & (doc[row[order[1:]]] == doc[row[order[:-1]]]) & (s[order[1:]] == s[order[:-1]])
                 known[order[same]] = False
-                f, f2 = _fingerprint(c, h, at, length)
-                f = np.where(known, T.mix(at.astype(np.uint64), 3).view(np.int64), f)  # not asked for again: dealt evenly
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(f2), pa.array(doc[row]), pa.array(s.astype(np.int32)), pa.array(known)], ["f", "f2", "doc", "lo", "known"])
+                # runs of places that are known start to start, dealt evenly by a hash of the first
+                sure = np.flatnonzero(known)
+                sure = sure[np.lexsort((s[sure], row[sure]))]
+                new = np.ones(len(sure), bool)
+                new[1:] = (row[sure[1:]] != row[sure[:-1]]) | (s[sure[1:]] != s[sure[:-1]] + 1)
+                last = np.append(new[1:], True)[: len(sure)]
+                f, f2 = _fingerprint(c, h, at[~known], length)
+                f = np.concatenate([f, T.mix(at[sure[new]].astype(np.uint64), 3).view(np.int64)])
+                f2 = np.concatenate([f2, np.zeros(int(new.sum()), f2.dtype)])
+                at_doc = np.concatenate([doc[row[~known]], doc[row[sure[new]]]])
+                los, his = np.concatenate([s[~known], s[sure[new]]]), np.concatenate([s[~known], s[sure[last]]])
+                marks = np.arange(len(f)) >= len(f) - int(new.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(f2), pa.array(at_doc), pa.array(los.astype(np.int32)), pa.array(his.astype(np.int32)), pa.array(marks)], ["f", "f2", "doc", "lo", "hi", "known"])
 
     return run
 
@@ -269,9 +279,9 @@ def _repeats(texts: DataFrame, length: int, broadcast_bytes: int, scratch: Scrat
 
     # suffixes of the words at the edges; those that are first in their task meet by class
     near = F.broadcast(edges) if (edges.agg(F.sum(F.size("spans") * 8 + 32)).first()[0] or 0) <= broadcast_bytes else edges
-    suffixes = texts.join(near, "doc").select("doc", "text", "spans").mapInArrow(_edge_suffixes(length), "f long, f2 int, doc long, lo int, known boolean")
+    suffixes = texts.join(near, "doc").select("doc", "text", "spans").mapInArrow(_edge_suffixes(length), "f long, f2 int, doc long, lo int, hi int, known boolean")
     order = W.partitionBy("f", "f2", "known").orderBy("doc", "lo")
-    repeated = suffixes.withColumn("r", F.rank().over(order)).where("known or r > 1").select("doc", "lo", F.col("lo").alias("hi"))
+    repeated = suffixes.withColumn("r", F.rank().over(order)).where("known or r > 1").select("doc", "lo", "hi")
 
     ranges = later.union(repeated).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     return scratch.save(ranges, "ranges")
