@@ -74,7 +74,7 @@ def test_decontamination_of_rows_without_id(spark):
     item = "what is the tallest mountain on the second largest continent of earth"
     rows = [(None, f"well {item} indeed"), (None, f"well {item} indeed"), (None, f"then {item}"), (None, "nothing of that kind is here at all"), (None, None), (1, item), (1, item), (2, "other words stand here instead")]
     docs, items = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(7, item)], "item_id long, text string")
-    assert sorted((r.doc_id or 0, r.item_id) for r in contaminated(docs, items).collect()) == [(0, 7), (0, 7), (1, 7)]
+    assert sorted((r.doc_id or 0, r.item_id) for r in contaminated(docs, items, without_id=True).collect()) == [(0, 7), (0, 7), (1, 7)]
     assert sorted(r.text or "" for r in clean_documents(docs, items).collect()) == ["", rows[3][1], rows[7][1]]
 
 

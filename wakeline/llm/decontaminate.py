@@ -12,7 +12,8 @@ Items with one to four words count as one shingle of just that many words; items
 
 Defined cases: null and empty texts match nothing; repeated items are reported each (rows with the
 same item_id and text are one item, with another text another); repeated documents too (rows with the
-same doc_id count as one document; of rows without a doc_id those of one text do, and are reported with a null doc_id); an empty table on either side gives no rows; other columns are ignored.
+same doc_id count as one document; rows without a doc_id are passed over, or
+with ``without_id`` searched too: those of one text count as one document and are reported with a null doc_id); an empty table on either side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,6 +61,7 @@ def contaminated(
     n: int = 5,
     threshold: float = 0.8,
     broadcast_rows: int = 500_000,
+    without_id: bool = False,
 ) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) for each document that holds at least threshold of an item.
 
@@ -88,6 +90,8 @@ def contaminated(
     # search: documents with any minimum of any item
     sketch = own.where("in_sketch").select(F.col("a").alias("_a")).distinct()
     own_text = F.when(F.col(doc_id).isNull(), F.md5(F.col(text))).otherwise("")  # tells rows without an id apart
+    if not without_id:
+        docs = docs.where(F.col(doc_id).isNotNull())
     docs = docs.select(F.col(doc_id).alias("doc_id"), own_text.alias("_own"), F.col(text).alias("text")).where(F.col("_own").isNotNull())
     tokens = docs.select("doc_id", "_own", word_codes(F.col("text")).alias("codes"))
     firsts = F.concat(*[shingles_of(F.col("codes"), k, 1) for k in lengths])

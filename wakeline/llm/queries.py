@@ -22,7 +22,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that each document holds at a containment of 0.8 or more of their five-word shingles."""
     from wakeline.llm.decontaminate import contaminated
 
-    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), without_id=True)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
