@@ -112,3 +112,28 @@ def test_decontamination_sql_keeps_rows_without_id():
     con.execute("create view documents as select null::bigint doc_id, 'one two three four five six' as text")
     con.execute("create view benchmark as select 1 item_id, 'one two three four five six' as text")
     assert con.execute(ORACLES["op3_decontamination"]).fetchall()
+
+
+#: Notices as they stand in files, in wordings that no template has whole.
+NOTICES = {
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "agpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+    "epl": "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/",
+}
+
+
+def test_licences_in_files(spark, sf_dir):
+    from wakeline.llm.license_scan import background_sample, scan, train
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = train(background_sample(docs))
+    plain = [r.text for r in docs.where("text is not null").orderBy("doc_id").limit(len(NOTICES)).collect()]
+    rows = [(k, text) for k, text in enumerate(NOTICES.values())] + [(100 + k, f"{body}\n\n{text}") for k, (body, text) in enumerate(zip(plain, NOTICES.values(), strict=True))]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    for k, family in enumerate(NOTICES):
+        assert got[k].families == family, (family, got[k])
+        assert family in got[100 + k].families.split(","), (family, got[100 + k])

@@ -27,17 +27,21 @@ from wakeline.llm import textops as T
 
 #: Short forms of public licence notices, by family.
 TEMPLATES = {
-    "agpl": ["licensed under the gnu affero general public license version 3", "you can redistribute it and/or modify it under the terms of the gnu affero general public license"],
+    "agpl": ["licensed under the gnu affero general public license version 3", "you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation"],
     "apache": ["licensed under the apache license version 2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license", "distributed under the apache 2.0 license"],
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "released under the bsd license", "use of this source code is governed by a bsd style license that can be found in the license file"],
     "cc0": ["released under cc0 1.0 universal public domain dedication", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "this work is dedicated to the public domain"],
     "cc-by": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
     "cc-by-nc": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license", "licensed under cc by-nc-sa 4.0", "licensed under cc by-nc-nd 4.0"],
     "cc-by-sa": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"],
+    "epl": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2.0", "licensed under the eclipse public license version 2.0"],
     "gpl": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 2", "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation"],
-    "lgpl": ["licensed under the gnu lesser general public license version 3", "you can redistribute it and/or modify it under the terms of the gnu lesser general public license"],
+    "isc": ["permission to use copy modify and/or distribute this software for any purpose with or without fee is hereby granted", "licensed under the isc license"],
+    "lgpl": ["licensed under the gnu lesser general public license version 3", "licensed under the gnu lesser general public license version 2.1", "you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "you can redistribute it and/or modify it under the terms of the gnu library general public license as published by the free software foundation"],
     "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "the software is provided as is without warranty of any kind express or implied"],
     "mpl": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0"],
+    "unlicense": ["this is free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary"],
+    "zlib": ["in no event will the authors be held liable for any damages arising from the use of this software", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"],
     "reserved": ["all rights reserved", "copyright all rights reserved", "no part of this publication may be reproduced without prior written permission of the publisher"],
 }
 FAMILIES = sorted(TEMPLATES)
