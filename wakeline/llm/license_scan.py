@@ -134,7 +134,13 @@ class Model:
     bias: np.ndarray
     temperature: float
     least: float
-    templates: list[tuple[int, frozenset]] = field(default_factory=list)  # family, word pairs
+    templates: list[tuple[int, frozenset, frozenset]] = field(default_factory=list)  # family, word pairs, words that no other family has
+
+
+def _own_words(family: str) -> set[str]:
+    """Words of a family's templates that stand in no other family's."""
+    words = {f: {w for t in ts for w in _WORD.findall(t)} for f, ts in TEMPLATES.items()}
+    return words[family] - set().union(*(w for f, w in words.items() if f != family))
 
 
 def _pairs(words: list[str]) -> frozenset:
@@ -222,7 +228,7 @@ def train(background: list[str], *, copies: int = 24, rounds: int = 150, seed: i
     prob = _softmax(z / temperature)
     wrong = prob[truth == UNKNOWN][:, :UNKNOWN].max(axis=1) if (truth == UNKNOWN).any() else np.zeros(1)
     least = float(np.clip(np.quantile(wrong, 0.995), 0.5, 0.9))
-    templates = [(k, _pairs(_WORD.findall(t))) for k, name in enumerate(FAMILIES) for t in TEMPLATES[name]]
+    templates = [(k, _pairs(_WORD.findall(t)), frozenset(_own_words(name) & set(_WORD.findall(t)))) for k, name in enumerate(FAMILIES) for t in TEMPLATES[name]]
     return Model(known.hashes, w, b, temperature, least, templates)
 
 
@@ -250,7 +256,7 @@ def scan(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "
     """(doc_id, n_paragraphs, n_candidates, n_licences, families, best, probability) for each document.
 
     A candidate is a paragraph, or a window where none overlaps it, with a licence probability of at least model.least; a licence is
-    a candidate that has at least ``overlap`` of the word pairs of a template of its family.  The words of one notice count once for a
+    a candidate that has at least ``overlap`` of the word pairs of a template of its family, and half of those of its words that no other family has.  The words of one notice count once for a
     family, however many windows hold them; a window that confirms a notice which no paragraph does is a candidate too.  families: those of the licences, in order of name, joined by commas; best
     and probability are those of the most probable licence, null if there is none.
     """
@@ -294,7 +300,7 @@ def scan(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "
                         spoken = _WORD.findall(spoken)
                         follow = list(zip(["", *spoken], spoken, strict=False))
                         pairs = frozenset(follow)
-                        of = [t for f, t in m.templates if f == family and len(t & pairs) >= overlap * len(t)]
+                        of = [t for f, t, own in m.templates if f == family and len(t & pairs) >= overlap * len(t) and 2 * len(own.intersection(spoken)) >= len(own)]
                         if of:
                             t = max(of, key=lambda t: len(t & pairs))
                             hits = [x for x, pair in enumerate(follow) if pair in t] if len(spoken) == hi - lo else range(hi - lo)
