@@ -64,7 +64,7 @@ def grouped_folds(rows: DataFrame, group: str, label: str, folds: int, seed: int
     return rows.join(before.select("_g", fold.alias("fold")), F.col(group) == F.col("_g")).drop("_g")
 
 
-def out_of_fold_rate(rows: DataFrame, by: str, label: str) -> Column | DataFrame:
+def out_of_fold_rate(rows: DataFrame, by: str, label: str) -> DataFrame:
     """rows (with fold) with rate: the share of true labels among rows of the same value of `by` in all other folds, else of all other folds."""
     y = F.col(label).cast("double")
     each = rows.groupBy(F.col(by).alias("_by"), F.col("fold").alias("_fold")).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
