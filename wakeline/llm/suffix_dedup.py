@@ -140,10 +140,10 @@ def _fingerprint(c: T.Chunk, h: np.ndarray, at: np.ndarray, length: int) -> tupl
 
 
 def _edge_suffixes(length: int):
-    """The suffixes of dictionary words, as (f, f2, doc, lo, known).
+    """The suffixes of dictionary words, as (f, f2, doc, lo).
 
     Of equal suffixes in one chunk of texts the first in corpus order is a row with the fingerprint of its class; the others start a
-    repeat for certain and are marked known, with a hash of their place for f.
+    repeat for certain, and are known by lo as -1 - lo, with a hash of their place for f.
     """
 
     bits = _width(length)
@@ -182,7 +182,7 @@ def _edge_suffixes(length: int):
                 known[order[same]] = False
                 f, f2 = _fingerprint(c, h, at, length)
                 f = np.where(known, T.mix(at.astype(np.uint64), 3).view(np.int64), f)  # not asked for again: dealt evenly
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(f2), pa.array(doc[row]), pa.array(s.astype(np.int32)), pa.array(known)], ["f", "f2", "doc", "lo", "known"])
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(f2), pa.array(doc[row]), pa.array(np.where(known, -1 - s, s).astype(np.int32))], ["f", "f2", "doc", "lo"])
 
     return run
 
@@ -269,9 +269,10 @@ def _repeats(texts: DataFrame, length: int, broadcast_bytes: int, scratch: Scrat
 
     # suffixes of the words at the edges; those that are first in their task meet by class
     near = F.broadcast(edges) if (edges.agg(F.sum(F.size("spans") * 8 + 32)).first()[0] or 0) <= broadcast_bytes else edges
-    suffixes = texts.join(near, "doc").select("doc", "text", "spans").mapInArrow(_edge_suffixes(length), "f long, f2 int, doc long, lo int, known boolean")
-    order = W.partitionBy("f", "f2", "known").orderBy("doc", "lo")
-    repeated = suffixes.withColumn("r", F.rank().over(order)).where("known or r > 1").select("doc", "lo", F.col("lo").alias("hi"))
+    suffixes = texts.join(near, "doc").select("doc", "text", "spans").mapInArrow(_edge_suffixes(length), "f long, f2 int, doc long, lo int")
+    order = W.partitionBy("f", "f2", F.col("lo") < 0).orderBy("doc", "lo")
+    repeated = suffixes.withColumn("r", F.rank().over(order)).where("lo < 0 or r > 1")
+    repeated = repeated.select("doc", F.when(F.col("lo") < 0, -1 - F.col("lo")).otherwise(F.col("lo")).alias("lo")).select("doc", "lo", F.col("lo").alias("hi"))
 
     ranges = later.union(repeated).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     return scratch.save(ranges, "ranges")
