@@ -41,7 +41,7 @@ FINE = re.compile(rf"\s*[^\s{LETTERS}]*[{LETTERS}]+|\s*[^\s{LETTERS}]+|\s+")
 COARSE = re.compile(r"\s*\S+|\s+")
 #: White space to one rule, but not to another: texts with these are encoded whole.
 UNSURE = re.compile("[\x1c-\x1f\x85]")
-CACHE = 340_000
+CACHE = 1_000_000
 SEQUENCES_PER_BATCH = 64
 
 
