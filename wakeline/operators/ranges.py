@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -34,10 +34,29 @@ def row_numbers(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     return out.select(*df.columns, (F.col("_before") + 1).alias(name))
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], weight: str | None = None) -> DataFrame:
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c with the error of the product carried into the sum, as a fused multiply-add has it; Spark has none.
+
+    Halves of the factors give the product's error without rounding, a two-sum that of the addition.
+    """
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        t = x * F.lit(134_217_729.0)  # 2 ** 27 + 1
+        return t - (t - x), x - (t - (t - x))
+
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    p = a * b
+    off = ((ah * bh - p) + ah * bl + al * bh) + al * bl
+    s = p + c
+    z = s - p
+    return s + (((p - (s - z)) + (c - z)) + off)
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], weight: str | None = None, as_sql: bool = False) -> DataFrame:
     """(keys, name, ...): exact percentiles with linear interpolation of value's non-null values, for each name and share.
 
     weight: a column of whole numbers; a row counts as so many.
+    as_sql: interpolate as DuckDB's quantile_cont does, to the last bit, for results that are rounded at ties afterwards.
 
     Values are counted first, then ranked over ranges of one sort; each rank asked for is found by a partial aggregate.  No task
     holds a group's values, as an exact percentile aggregate does.
@@ -53,5 +72,9 @@ def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, fl
             found[f"_{name}_{end}"] = F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("_m")), F.col("_v")))
         found[f"_{name}_f"] = F.max(at - F.floor(at))
     out = placed.groupBy(*keys).agg(*[v.alias(k) for k, v in found.items()])
-    between = lambda name: F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * F.col(f"_{name}_f")
+
+    def between(name: str) -> Column:
+        lo, hi, f = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_f")
+        return fused(lo, 1 - f, hi * f) if as_sql else lo + (hi - lo) * f
+
     return out.select(*keys, *[between(name).alias(name) for name in shares])

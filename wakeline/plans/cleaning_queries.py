@@ -378,12 +378,15 @@ def percentiles(spark, sf_dir):
     SELECT event_id, round(CASE WHEN s > 0 THEN (greatest(lo, least(hi, sog)) - med) / s ELSE 0 END, 4) AS scaled FROM v JOIN p USING (track_id)""",
 )
 def clipped_scale(spark, sf_dir):
-    """Each report's speed against its vessel's own profile: clipped to the profile's range, then scaled by its quartiles."""
+    """Each report's speed against its vessel's own profile: clipped to the profile's range, then scaled by its quartiles.
+
+    The fourth digit is rounded in binary, as SQL does: Spark's round of so many digits goes by the shortest decimal, and tells ties otherwise.
+    """
     v = fixes(spark, sf_dir).where("sog is not null")
-    q = lambda p: F.percentile("sog", p)
-    profile = v.groupBy("track_id").agg(q(0.01).alias("lo"), q(0.99).alias("hi"), q(0.5).alias("med"), ((q(0.75) - q(0.25)) / 1.349).alias("s"))
+    profile = ranges.percentiles(v, ["track_id"], "sog", {"lo": 0.01, "hi": 0.99, "med": 0.5, "q1": 0.25, "q3": 0.75}, as_sql=True)
+    profile = profile.withColumn("s", (F.col("q3") - F.col("q1")) / 1.349)
     scaled = F.when(F.col("s") > 0, (F.greatest("lo", F.least("hi", "sog")) - F.col("med")) / F.col("s")).otherwise(0.0)
-    return v.join(profile, "track_id").select("event_id", F.round(scaled, 4).alias("scaled"))
+    return v.join(profile, "track_id").select("event_id", (F.round(scaled * 1e4) / 1e4).alias("scaled"))
 
 
 @query(
