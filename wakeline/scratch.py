@@ -62,8 +62,10 @@ class Scratch:
         """Let the executors delete shuffle files that no DataFrame refers to any more.
 
         Spark deletes them when the driver's JVM collects what refers to them, which a driver with little to do may not do for
-        half an hour; by then the files of all steps would have piled up on the executors' disks.
+        half an hour; by then the files of all steps would have piled up on the executors' disks.  A listener of Spark's refers to the
+        last query it was told of until it is told of the next, so a query without files of its own goes first.
         """
+        self.spark.range(0, 1, numPartitions=1).collect()
         gc.collect()
         self.spark._jvm.System.gc()
 
