@@ -52,6 +52,20 @@ def fused(a: Column, b: Column, c: Column) -> Column:
     return s + (((p - (s - z)) + (c - z)) + off)
 
 
+def percentile_of(df: DataFrame, lists: dict[str, tuple[str, float]]) -> DataFrame:
+    """df with name for each (array column in ascending order, share): the percentile that DuckDB's quantile_cont gives, to the last bit.
+
+    For the values of small groups; a group's place between two values is told apart from a threshold just as the SQL does.
+    """
+    ends = {}
+    for name, (values, share) in lists.items():
+        at = (F.size(values) - 1) * F.lit(float(share))
+        ends |= {f"_{name}_lo": F.get(values, F.floor(at).cast("int")), f"_{name}_hi": F.get(values, F.ceil(at).cast("int")), f"_{name}_f": at - F.floor(at)}
+    out = df.withColumns(ends)
+    lo, hi, f = (lambda name, end=end: F.col(f"_{name}_{end}") for end in ("lo", "hi", "f"))
+    return out.withColumns({name: fused(lo(name), 1 - f(name), hi(name) * f(name)) for name in lists}).drop(*ends)
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], weight: str | None = None, as_sql: bool = False) -> DataFrame:
     """(keys, name, ...): exact percentiles with linear interpolation of value's non-null values, for each name and share.
 
