@@ -30,3 +30,12 @@ def test_threshold_on_a_percentile(spark, tied, name):
     got = QUERIES[name](spark, folder)
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_fast_window_of_a_confirmed_interval(spark):
+    con = duckdb.connect()
+    for t in ("events", "orders", "nation"):
+        con.execute(f"CREATE VIEW {t} AS FROM '/root/testdata/sf0.1/{t}.parquet'")
+    got = QUERIES["AG49_confirmed_recall"](spark, "/root/testdata/sf0.1").select("truth_id", "exact", "within_day").collect()
+    want = con.execute(f"SELECT truth_id, exact, within_day FROM ({ORACLES['AG49_confirmed_recall']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
