@@ -172,7 +172,7 @@ def episodes(spark, sf_dir):
     f = window_features(spark, sf_dir).where("sog_p95 >= 19").select("track_id", F.col("window_start").alias("a"), (F.col("window_start") + 432000).alias("z"), "sog_p95")
     w = W.partitionBy("track_id").orderBy("a", "z")
     f = f.withColumn("e", F.coalesce(F.col("a") > F.lag("z").over(w) + 10800, F.lit(True)).cast("int")).withColumn("episode", F.sum("e").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return f.groupBy("track_id", "episode").agg(F.count("*").alias("n"), F.round(F.max("z") - F.min("a"), 3).alias("span"), F.round(F.avg("sog_p95"), 5).alias("mean_p95"))
+    return f.groupBy("track_id", "episode").agg(F.count("*").alias("n"), F.round(F.max("z") - F.min("a"), 3).alias("span"), (F.round(F.avg("sog_p95") * 1e5) / 1e5).alias("mean_p95"))
 
 
 @query("WN16_status_toggles", f"WITH c AS (SELECT *, status < 4 AS moving FROM fixes), b AS (SELECT *, CASE WHEN moving = lag(moving) OVER ({BY}) THEN 0 ELSE 1 END AS k FROM c), r AS (SELECT *, sum(k) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS run FROM b), g AS (SELECT track_id, run, bool_or(moving) AS moving, count(*) AS n FROM r GROUP BY track_id, run), s AS (SELECT *, lag(n) OVER p AS b, lead(n) OVER p AS a FROM g WINDOW p AS (PARTITION BY track_id ORDER BY run)) SELECT track_id, sum(CASE WHEN NOT moving AND n <= 2 AND b >= 2 AND a >= 2 THEN 1 ELSE 0 END)::BIGINT AS toggles FROM s GROUP BY track_id")
