@@ -24,7 +24,7 @@ def tied(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["AG38_vessel_flags", "WN8_episodes"])
+@pytest.mark.parametrize("name", ["AG38_vessel_flags", "J31_label_override", "WN8_episodes"])
 def test_threshold_on_a_percentile(spark, tied, name):
     folder, con = tied
     got = QUERIES[name](spark, folder)
