@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,19 +27,87 @@ class ClusterConfig:
     present: float = 0.5
 
 
+#: Cells along a side of a tile.
+TILE = 16
+
+
+def _linked(a: np.ndarray, b: np.ndarray, distance_nm: float) -> bool:
+    """Whether a place of a is within distance_nm of one of b (rows of latitude, longitude): nearest ones first, then all that can be."""
+
+    def any_near(x: np.ndarray, y: np.ndarray) -> bool:
+        for k in range(0, len(x), max(1, 1_000_000 // len(y))):
+            (p1, l1), (p2, l2) = np.radians(x[k : k + max(1, 1_000_000 // len(y))]).T[:, :, None], np.radians(y).T[:, None, :]
+            h = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin((l2 - l1) / 2) ** 2
+            if (2 * geo.EARTH_M * np.arcsin(np.sqrt(np.minimum(1, h))) / geo.NM_M <= distance_nm).any():
+                return True
+        return False
+
+    if len(a) * len(b) > 1024:
+        first = lambda x, y: x[np.argpartition(np.abs(x - y.mean(axis=0)).sum(axis=1), min(16, len(x) - 1))[:16]]
+        if any_near(first(a, b), first(b, a)):
+            return True
+        reach = np.array([distance_nm / 59, distance_nm / 29])
+        a = a[((a >= b.min(axis=0) - reach) & (a <= b.max(axis=0) + reach)).all(axis=1)]
+        b = b[((b >= a.min(axis=0) - reach) & (b <= a.max(axis=0) + reach)).all(axis=1)] if len(a) else b
+        a, b = np.unique(a, axis=0), np.unique(b, axis=0)
+    return len(a) > 0 and len(b) > 0 and any_near(a, b)
+
+
+def cell_links(points: DataFrame, distance_nm: float) -> DataFrame:
+    """Edges (a, b) that join the nodes (cells of a step) whose positions hang together, at most one for each cell and tile that holds it.
+
+    points: (step, node, _i, _j, latitude, longitude), any two positions of a cell within distance_nm of each other.  A tile sees its own
+    cells and those around that its positions can reach; it compares cells, not positions, and only cells not yet joined by others.
+    """
+    at = F.array_distinct(F.array(*[F.struct(F.floor((F.col("_i") - a) / TILE).alias("_ti"), F.floor((F.col("_j") - b) / TILE).alias("_tj")) for a in (0, 2) for b in (-3, 0, 3)]))
+    around = sorted(((a, b) for a in range(3) for b in range(-3, 4) if (a, b) > (0, 0)), key=lambda x: x[0] ** 2 + x[1] ** 2)
+
+    def run(t):
+        i, j = t["_i"].to_numpy(), t["_j"].to_numpy()
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        places = np.column_stack([t[c].to_numpy()[order] for c in ("latitude", "longitude")])
+        starts = np.flatnonzero(np.r_[True, (np.diff(i) != 0) | (np.diff(j) != 0)])
+        ends = np.r_[starts[1:], len(i)]
+        cells = {c: k for k, c in enumerate(zip(i[starts].tolist(), j[starts].tolist(), strict=True))}
+        root = list(range(len(starts)))
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        for di, dj in around:
+            for (ci, cj), k in cells.items():
+                other = cells.get((ci + di, cj + dj))
+                if other is None or (x := find(k)) == (y := find(other)):
+                    continue
+                if _linked(places[starts[k] : ends[k]], places[starts[other] : ends[other]], distance_nm):
+                    root[max(x, y)] = min(x, y)
+        node = t["node"].take(pa.array(order[starts]))
+        found = np.array([find(k) for k in range(len(root))], dtype=np.int64)
+        joined = np.flatnonzero(found != np.arange(len(found)))
+        return pa.table({"a": node.take(pa.array(joined)), "b": node.take(pa.array(found[joined]))})
+
+    tiles = points.select("step", "node", "_i", "_j", "latitude", "longitude", F.inline(at))
+    return tiles.groupBy("step", "_ti", "_tj").applyInArrow(run, "a string, b string").distinct()
+
+
 def step_groups(positions: DataFrame, cfg: ClusterConfig) -> DataFrame:
     """(step, comp, track_id): vessels of each step's components of at least min_vessels linked within distance_nm.
 
-    positions: one (step, track_id, latitude, longitude) for each vessel and step; up to 60 degrees of latitude.
+    positions: one (step, track_id, latitude, longitude) for each vessel and step; up to 60 degrees of latitude.  Vessels of a cell whose
+    diagonal is below distance_nm are linked, so that components are those of cells: pairs of vessels are never written.
     """
     scratch = Scratch(positions.sparkSession, "clusters")
-    node = F.concat_ws("/", F.lpad(F.col("step").cast("string"), 20, "0"), "track_id")
-    near = J.cell_self_join(positions, ["step"], "track_id", "longitude", "latitude", cfg.distance_nm / 30)
-    near = near.where(geo.haversine_nm(F.col("latitude"), F.col("longitude"), F.col("latitude2"), F.col("longitude2")) <= cfg.distance_nm)
-    edges = scratch.save(near.select(node.alias("a"), F.concat_ws("/", F.lpad(F.col("step").cast("string"), 20, "0"), "track_id2").alias("b")), "edges")
-    found = components(edges, scratch, "near")
-    big = found.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") >= cfg.min_vessels).select("component")
-    out = found.join(big, "component").select(F.substring_index("node", "/", 1).cast("long").alias("step"), F.col("component").alias("comp"), F.expr("substring(node, 22)").alias("track_id"))
+    side = cfg.distance_nm / 60.05 / 2**0.5 * 0.999  # a degree has 60.04 nm
+    cells = positions.select("step", "track_id", "latitude", "longitude").where("latitude is not null and longitude is not null")
+    cells = cells.withColumns({"_i": F.floor(F.col("latitude") / side), "_j": F.floor(F.col("longitude") / side)})
+    points = scratch.save(cells.withColumn("node", F.concat_ws("/", "step", "_i", "_j")), "points")
+    found = components(scratch.save(cell_links(points, cfg.distance_nm), "links"), scratch, "near")
+    placed = points.select("step", "track_id", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+    big = placed.groupBy("component").agg(F.count("*").alias("_n"), F.min("track_id").alias("_first")).where(F.col("_n") >= max(cfg.min_vessels, 2))
+    out = placed.join(big, "component").select("step", F.concat_ws("/", F.lpad(F.col("step").cast("string"), 20, "0"), "_first").alias("comp"), "track_id")
     return scratch.save(out, "members")
 
 
