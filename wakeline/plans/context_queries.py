@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from wakeline.functions import geo
 from wakeline.operators import context as C
+from wakeline.operators import encounters as E
 from wakeline.operators import joins as J
 from wakeline.operators import nearest as N
 from wakeline.operators import tracks as T
@@ -85,11 +86,7 @@ def neighbours(spark, sf_dir):
 @query("WN15_pair_runs", "WITH " + PAIRS + ", c AS (SELECT step, track_id, track_id2, nm FROM pr WHERE nm <= 6), g AS (SELECT *, CASE WHEN step - lag(step) OVER p <= 2 THEN 0 ELSE 1 END AS b FROM c WINDOW p AS (PARTITION BY track_id, track_id2 ORDER BY step)), r AS (SELECT *, sum(b) OVER (PARTITION BY track_id, track_id2 ORDER BY step ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT track_id, track_id2, min(step) AS k0, max(step) AS k1, count(*) AS steps FROM r GROUP BY track_id, track_id2, run HAVING count(*) >= 0.6 * (max(step) - min(step) + 1)")
 def pair_runs(spark, sf_dir):
     """Runs of a pair over steps: one missing step is tolerated, at least 60 % of steps are present."""
-    w = W.partitionBy("track_id", "track_id2").orderBy("step")
-    p = close_pairs(spark, sf_dir).withColumn("b", F.when(F.col("step") - F.lag("step").over(w) <= 2, 0).otherwise(1))
-    runs = p.withColumn("run", F.sum("b").over(w.rowsBetween(W.unboundedPreceding, 0))).groupBy("track_id", "track_id2", "run")
-    out = runs.agg(F.min("step").alias("k0"), F.max("step").alias("k1"), F.count("*").alias("steps"))
-    return out.where(F.col("steps") >= 0.6 * (F.col("k1") - F.col("k0") + 1)).drop("run")
+    return E.encounters(steps(spark, sf_dir), 6.0).select("track_id", "track_id2", "k0", "k1", "steps")
 
 
 @query("J13_status_asof", "WITH g AS (SELECT track_id, unnest(range(19723, 19753)) * 86400.0e0 AS t FROM (SELECT DISTINCT track_id FROM fixes)) SELECT g.track_id, CAST(g.t AS BIGINT) AS at, f.status FROM g ASOF LEFT JOIN fixes f ON f.track_id = g.track_id AND g.t >= f.t")
