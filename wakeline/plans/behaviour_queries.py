@@ -8,9 +8,10 @@ from pyspark.sql.window import Window as W
 from wakeline.functions import geo
 from wakeline.operators import context as C
 from wakeline.operators import detect as D
+from wakeline.operators import encounters as E
 from wakeline.operators import joins as J
 from wakeline.operators import tracks as T
-from wakeline.plans.context_queries import CELLS, PAIRS, STEP, close_pairs
+from wakeline.plans.context_queries import CELLS, PAIRS, STEP, steps
 from wakeline.plans.detect_queries import CFG, GAPS
 from wakeline.plans.registry import haversine, query
 from wakeline.sources.fixes import fixes, zones
@@ -18,14 +19,13 @@ from wakeline.sources.fixes import fixes, zones
 MEET = PAIRS + ", ms AS (SELECT step, track_id, track_id2, nm FROM pr WHERE nm <= 6 AND coalesce(sog, 0) <= 10 AND coalesce(sog2, 0) <= 10), mg AS (SELECT *, CASE WHEN step - lag(step) OVER p <= 2 THEN 0 ELSE 1 END AS b FROM ms WINDOW p AS (PARTITION BY track_id, track_id2 ORDER BY step)), mr AS (SELECT *, sum(b) OVER (PARTITION BY track_id, track_id2 ORDER BY step ROWS UNBOUNDED PRECEDING) AS run FROM mg), me AS (SELECT track_id, track_id2, min(step) * 21600.0e0 AS t0, (max(step) + 1) * 21600.0e0 AS t1, count(*) AS steps, avg(nm) AS nm FROM mr GROUP BY track_id, track_id2, run HAVING count(*) >= 0.6 * (max(step) - min(step) + 1))"
 
 
+def slow_steps(spark, sf_dir):
+    return steps(spark, sf_dir).where(F.coalesce("sog", F.lit(0.0)) <= 10)
+
+
 def meetings(spark, sf_dir):
     """(track_id, track_id2, t0, t1, steps, nm, severity): slow pairs over steps, one missing step tolerated."""
-    slow = (F.coalesce("sog", F.lit(0.0)) <= 10) & (F.coalesce("sog2", F.lit(0.0)) <= 10)
-    w = W.partitionBy("track_id", "track_id2").orderBy("step")
-    p = close_pairs(spark, sf_dir).where(slow).withColumn("b", F.when(F.col("step") - F.lag("step").over(w) <= 2, 0).otherwise(1))
-    p = p.withColumn("run", F.sum("b").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    g = p.groupBy("track_id", "track_id2", "run").agg(F.min("step").alias("k0"), F.max("step").alias("k1"), F.count("*").alias("steps"), F.avg("nm").alias("nm"), F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"))
-    g = g.where(F.col("steps") >= 0.6 * (F.col("k1") - F.col("k0") + 1))
+    g = E.encounters(slow_steps(spark, sf_dir), 6.0)
     t0, t1 = F.col("k0") * STEP, (F.col("k1") + 1) * STEP
     sev = 45 + 25 * F.least(F.lit(1.0), ((t1 - t0) / 60 - 360) / 720)
     return g.select("track_id", "track_id2", t0.alias("t0"), t1.alias("t1"), "steps", "nm", "latitude", "longitude", D.clip(sev).alias("severity"))
