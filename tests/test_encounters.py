@@ -75,7 +75,7 @@ def test_blocks_and_best_of_spans(spark, monkeypatch):
             assert next((p for p in all_ if x not in p), None) == next((p for p in three if x not in p), None)
 
 
-@pytest.mark.parametrize("name", ["WN15_pair_runs", "D3_meetings"])
+@pytest.mark.parametrize("name", ["WN15_pair_runs", "D3_meetings", "J21_dark_meetings"])
 def test_pairs_are_not_shuffled(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     shuffled = [x for x in plan.splitlines() if "hashpartitioning(" in x]

@@ -62,14 +62,18 @@ def cable_work(spark, sf_dir):
 
 @query("J21_dark_meetings", "WITH " + GAPS + ", " + MEET + ", st AS (SELECT track_id AS v, track_id2 AS v2, t0 AS s0, t1 AS s1 FROM me)".replace(", st AS", ", sx AS") + ", dk AS (SELECT ga.event_id, ga.track_id, v, v2, least(ga.t1, s1) - greatest(ga.t0, s0) AS overlap, (least(ga.t1, s1) - greatest(ga.t0, s0)) / (s1 - s0) AS frac FROM ga JOIN sx ON ga.t0 <= s1 AND ga.t1 >= s0 AND ga.track_id <> v AND ga.track_id <> v2 WHERE NOT ga.stationary), dr AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(frac, 6) DESC, overlap DESC, v, v2) AS r FROM dk WHERE overlap >= 1200 AND frac >= 0.6) SELECT event_id, track_id, v, v2, round(overlap, 3) AS overlap FROM dr WHERE r = 1")
 def dark_meetings(spark, sf_dir):
-    """For each silence, the meeting of two other vessels that it covers best: time buckets bring them together."""
+    """For each silence, the meeting of two other vessels that it covers best.
+
+    Of the meetings with the same start and end only three can count, so silences meet spans of steps, not meetings.
+    """
     g = D.gaps(fixes(spark, sf_dir), CFG).where("not stationary").select("event_id", "track_id", F.col("t0").alias("g0"), F.col("t1").alias("g1"), F.lit(0).alias("k"))
-    m = meetings(spark, sf_dir).select(F.col("track_id").alias("v"), F.col("track_id2").alias("v2"), F.col("t0").alias("s0"), F.col("t1").alias("s1"), F.lit(0).alias("k"))
+    m = E.best_of_spans(slow_steps(spark, sf_dir), 6.0)
+    m = m.select(F.col("track_id").alias("v"), F.col("track_id2").alias("v2"), (F.col("k0") * STEP).alias("s0"), ((F.col("k1") + 1) * STEP).alias("s1"), F.lit(0).alias("k"))
     both = J.overlap_join(g, m, ["k"], ("g0", "g1"), ("s0", "s1"), 86_400.0).where("track_id <> v and track_id <> v2")
     overlap = F.least("g1", "s1") - F.greatest("g0", "s0")
     both = both.withColumn("overlap", overlap).withColumn("frac", F.col("overlap") / (F.col("s1") - F.col("s0"))).where("overlap >= 1200 and frac >= 0.6")
-    r = F.row_number().over(W.partitionBy("event_id").orderBy(F.desc(F.round("frac", 6)), F.desc("overlap"), "v", "v2"))
-    return both.withColumn("r", r).where("r = 1").select("event_id", "track_id", "v", "v2", F.round("overlap", 3).alias("overlap"))
+    best = F.min(F.struct((-F.round("frac", 6)).alias("f"), (-F.col("overlap")).alias("o"), "v", "v2")).alias("b")
+    return both.groupBy("event_id", "track_id").agg(best).select("event_id", "track_id", "b.v", "b.v2", F.round(-F.col("b.o"), 3).alias("overlap"))
 
 
 @query("WN22_positions_at", "WITH c AS (SELECT track_id, max(t) AS last FROM fixes GROUP BY track_id), s AS (SELECT f.*, row_number() OVER (PARTITION BY track_id ORDER BY t DESC, event_id DESC) AS r FROM fixes f WHERE t <= 1705665600) SELECT s.track_id, s.event_id, round(" + haversine("s.latitude", "s.longitude", "24.0e0", "120.5e0") + " / 1852, 5) AS nm FROM s JOIN c USING (track_id) WHERE r = 1 AND 1705665600 - s.t <= 86400 AND 1705665600 <= c.last + 1800")
